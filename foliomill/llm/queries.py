@@ -7,17 +7,32 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
+from .mixing import mix
+from .quality_rules import quality_rules
+from .secrets import secret_scan
 from .token_counts import token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op2_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan(table(spark, sf_dir, "documents"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"))
 
 
+def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(table(spark, sf_dir, "documents"))
+
+
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op4_token_counts,)}
+    return {f.__name__: f for f in (op2_secret_scans, op4_token_counts, op5_mix_sources, op9_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
