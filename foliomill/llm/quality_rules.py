@@ -68,7 +68,10 @@ def measure(docs: DataFrame, *keep: str) -> DataFrame:
     spread = spread.withColumn("_at", F.sort_array(F.transform(twice, lambda x: x.i))).drop("_sorted")
     # a window adds its words up to the start of the next repeated window
     covered = F.aggregate(F.transform("_at", lambda at, j: F.least(F.lit(WINDOW), F.coalesce(F.get("_at", j + 1) - at, F.lit(WINDOW)))), F.lit(0), lambda total, x: total + x)
-    return spread.select(*keep, "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"))
+    spread = spread.select(*keep, "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"))
+    # a generator keeps later filters from being pushed down, which would evaluate all of this again inside them
+    made = [c for c in spread.columns if c not in keep]
+    return spread.select(*keep, F.inline(F.array(F.struct(*made))))
 
 
 def ledger(docs: DataFrame, *keep: str) -> DataFrame:

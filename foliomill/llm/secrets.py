@@ -142,12 +142,16 @@ class Automaton:
         """Keep log probabilities of what can be reached; a class's share is spread over its characters."""
         self.log: list[dict[str, tuple[float, int]]] = [{} for _ in self.next]
         self.stop = [_UNSEEN] * len(self.next)
-        for s in range(len(self.next)):
-            if self.seen[s]:
-                for c, n in self.count[s].items():
-                    self.log[s][c] = (math.log(n / self.seen[s] / _SIZE.get(c, 1)), self.next[s][c])
-                if self.ends[s]:
-                    self.stop[s] = math.log(self.ends[s] / self.seen[s])
+        todo, reached = [0], {0}
+        while todo:
+            s = todo.pop()
+            for c, n in self.count[s].items():
+                self.log[s][c] = (math.log(n / self.seen[s] / _SIZE.get(c, 1)), self.next[s][c])
+            if self.ends[s]:
+                self.stop[s] = math.log(self.ends[s] / self.seen[s])
+            new = {*self.next[s].values()} - reached
+            reached |= new
+            todo += new
         del self.next, self.count, self.ends, self.seen
 
     def likelihood(self, word: str) -> float:

@@ -7,8 +7,7 @@ text is the sum over its pre-tokens.
 
 Plan: (1) every task gathers its distinct pre-tokens, one shuffle merges them,
 and the library counts each once; (2) each document is reduced to pre-token
-frequencies; the ``head`` most frequent pre-tokens, a fixed number of short
-strings, are joined from a broadcast table, all others by a shuffle join; (3)
+frequencies; the most frequent pre-tokens, at most ``head`` short strings, are joined from a broadcast table, all others by a shuffle join; (3)
 one sum per document. Frequent pre-tokens thus never meet in one task.
 """
 
@@ -17,6 +16,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -128,7 +128,10 @@ def token_counts(docs: DataFrame, *, model_path: str | None = None, limit: int =
     found = docs.select("text").mapInArrow(_distinct, "pretoken string, n long").groupBy("pretoken").agg(F.sum("n").alias("n"))
     vocabulary = materialize(found.mapInArrow(_count_pieces(model_path or default_model()), "pretoken string, n long, pieces long"), "pretokens")
     short = vocabulary.filter(F.length("pretoken") <= HEAD_CHARS)
-    top = short.orderBy(F.desc("n"), "pretoken").limit(head).select("pretoken", "pieces").toArrow()
+    # frequency classes, an eighth of a power of two each; the whole top classes that fit make the head
+    classes = short.groupBy(F.floor(8 * F.log2("n")).alias("c")).agg(F.count("*").alias("rows")).orderBy(F.desc("c")).collect()
+    within = [c.c for c, rows in zip(classes, accumulate(c.rows for c in classes)) if rows <= head]
+    top = short.filter(F.floor(8 * F.log2("n")) >= (within[-1] if within else float("inf"))).select("pretoken", "pieces").toArrow()
     known = spark.sparkContext.broadcast(dict(zip(top.column(0).to_pylist(), top.column(1).to_pylist())))
     rows = docs.withColumn("row_id", F.monotonically_increasing_id()).mapInArrow(_frequencies(known), "row_id long, doc_id long, n_bytes long, pretoken string, n long")
     # rows without a pretoken get keys of their own: no null key gathers them in one task
