@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
 from .mixing import mix
+from .packing import pack
 from .quality_rules import quality_rules
 from .secrets import secret_scan
 from .token_counts import token_counts
@@ -27,12 +28,16 @@ def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
 
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_secret_scans, op4_token_counts, op5_mix_sources, op9_quality_rules)}
+    return {f.__name__: f for f in (op2_secret_scans, op4_token_counts, op5_mix_sources, op8_packing, op9_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
