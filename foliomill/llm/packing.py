@@ -148,42 +148,39 @@ def linear_program(sizes: np.ndarray, demand: np.ndarray, capacity: int) -> tupl
 
     Prices are smoothed towards the best known feasible ones, at first each
     size's share of the capacity; those also bound the optimum from below, and
-    the program stops within ``GAP`` of that bound.
+    the program stops within ``GAP`` of that bound. Rounding errors only cost
+    some waste: ``patterns`` uses whole copies within the demand.
     """
     m = len(sizes)
     basis = np.diag(capacity // sizes).astype(float)  # columns are patterns
     inverse = np.diag(1 / np.diag(basis))
-    used = inverse @ demand
+    used = demand / np.diag(basis)
     best = sizes / capacity
-    bound, pull = float(best @ demand), SMOOTH
+    bound, pull = float((best * demand).sum()), SMOOTH
     for step in range(MOST_COLUMNS):
         if used.sum() <= bound * (1 + GAP):
             break
         prices = inverse.sum(axis=0)
         tried = np.maximum(pull * best + (1 - pull) * prices, 0)
         value, column = knapsack(sizes, tried, capacity)
-        if float(tried @ demand) / max(value, 1) > bound:
-            best, bound = tried / max(value, 1), float(tried @ demand) / max(value, 1)
-        if prices @ column <= 1 + 1e-7:  # no gain at the basis's own prices
+        if float((tried * demand).sum()) / max(value, 1) > bound:
+            best, bound = tried / max(value, 1), float((tried * demand).sum()) / max(value, 1)
+        if (prices * column).sum() <= 1 + 1e-7:  # no gain at the basis's own prices
             if pull < 1e-3:
                 break
             pull /= 2
             continue
         pull = SMOOTH
-        direction = inverse @ column
+        direction = (inverse * column).sum(axis=1)  # no BLAS call: its threads can stall inside a driver process
         ratios = np.where(direction > 1e-9, used / np.where(direction > 1e-9, direction, 1), np.inf)
         out = int(ratios.argmin())
         basis[:, out] = column
-        if step % 200 == 199:
-            inverse = np.linalg.inv(basis)
-            used = np.maximum(inverse @ demand, 0)
-        else:
-            theta = max(ratios[out], 0)
-            used = np.maximum(used - theta * direction, 0)
-            used[out] = theta
-            row = inverse[out] / direction[out]
-            inverse = inverse - np.outer(direction, row)
-            inverse[out] = row
+        theta = max(ratios[out], 0)
+        used = np.maximum(used - theta * direction, 0)
+        used[out] = theta
+        row = inverse[out] / direction[out]
+        inverse = inverse - np.outer(direction, row)
+        inverse[out] = row
     return basis.T.astype(np.int64), used
 
 
