@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
+from .fingerprints import fingerprints
 from .mixing import mix
 from .packing import pack
 from .quality_rules import quality_rules
@@ -36,8 +37,12 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_secret_scans, op4_token_counts, op5_mix_sources, op8_packing, op9_quality_rules)}
+    return {f.__name__: f for f in (op2_secret_scans, op4_token_counts, op5_mix_sources, op8_packing, op9_quality_rules, op10_fingerprints)}
 
 
 def oracle_sql() -> dict[str, str]:
