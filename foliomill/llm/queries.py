@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .common import table
 from .fingerprints import fingerprints
 from .mixing import mix
+from .near_duplicates import near_duplicates
 from .packing import pack
 from .quality_rules import quality_rules
 from .secrets import secret_scan
@@ -38,6 +39,10 @@ def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
 
+def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
@@ -51,7 +56,7 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_url_filters, op2_secret_scans, op4_token_counts, op5_mix_sources, op8_packing, op9_quality_rules, op10_fingerprints)}
+    return {f.__name__: f for f in (op1_url_filters, op2_secret_scans, op4_token_counts, op5_mix_sources, op7_near_duplicates, op8_packing, op9_quality_rules, op10_fingerprints)}
 
 
 def oracle_sql() -> dict[str, str]:
