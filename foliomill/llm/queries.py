@@ -12,8 +12,10 @@ from .fingerprints import fingerprints
 from .mixing import mix
 from .near_duplicates import near_duplicates
 from .packing import pack
+from .pseudonyms import pseudonyms
 from .quality_rules import quality_rules
 from .secrets import secret_scan
+from .substrings import repeated_passages
 from .token_counts import token_counts
 from .url_filters import url_filter
 
@@ -31,6 +33,14 @@ def op2_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan(table(spark, sf_dir, "documents"))
 
 
+#: The queries' key; a real job passes its own secret.
+KEY = b"key of the test queries"
+
+
+def op3_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudonyms(table(spark, sf_dir, "documents"), KEY)
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"))
 
@@ -39,6 +49,10 @@ def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
 
+def op6_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -56,7 +70,7 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_url_filters, op2_secret_scans, op4_token_counts, op5_mix_sources, op7_near_duplicates, op8_packing, op9_quality_rules, op10_fingerprints)}
+    return {f.__name__: f for f in (op1_url_filters, op2_secret_scans, op3_pseudonyms, op4_token_counts, op5_mix_sources, op6_repeated_passages, op7_near_duplicates, op8_packing, op9_quality_rules, op10_fingerprints)}
 
 
 def oracle_sql() -> dict[str, str]:
