@@ -73,5 +73,29 @@ def queries() -> dict[str, Query]:
     return {f.__name__: f for f in (op1_url_filters, op2_secret_scans, op3_pseudonyms, op4_token_counts, op5_mix_sources, op6_repeated_passages, op7_near_duplicates, op8_packing, op9_quality_rules, op10_fingerprints)}
 
 
+_QUALITY = r"""with d as (select doc_id, coalesce(text, '') t from documents),
+w as (select doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') ws, list_filter(string_split(t, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) ls from d),
+p as (select doc_id, ws, unnest(range(1, len(ws) - 3)) i from w),
+g as (select doc_id, i, count(*) over (partition by doc_id, array_to_string(ws[i:i + 4], ' ')) c from p),
+v as (select doc_id, count(distinct j) n from (select doc_id, unnest(range(i, i + 5)) j from g where c > 1) group by doc_id),
+m as (select w.doc_id, cast(len(ws) as bigint) n_words, cast(length(array_to_string(ws, '')) as bigint) word_chars, cast(len(regexp_extract_all(t, '[#*$%&|<>]')) as bigint) n_symbols,
+  cast(len(ls) - len(list_distinct(ls)) as bigint) n_dup_lines, cast(coalesce(v.n, 0) as bigint) n_repeat_words, cast(len(ls) as bigint) n_lines from w left join v using (doc_id)),
+f as (select *, n_words < 10 f0, 100 * n_repeat_words > 20 * n_words f1, 10 * n_symbols > n_words f2, 2 * n_dup_lines > n_lines f3, word_chars > 12 * n_words or word_chars < 2 * n_words f4 from m)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, f0 or f1 base_failed, not (f0 or f1 or f2 or f3 or f4) kept, n_lines,
+  cast(f0::int + 2 * f1::int + 4 * f2::int + 8 * f3::int + 16 * f4::int as bigint) failure_bits from f"""
+
+_MIX = r"""with d as (select doc_id, source, cast(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as bigint) size, md5('mix:' || coalesce(cast(doc_id as varchar), '')) k from documents),
+s as (select source, cast(sum(size) as bigint) source_size from d group by source),
+r as (select *, row_number() over (order by source nulls last) - 1 rank from s),
+c as (select *, ([5, 2, 1])[rank % 3 + 1] w, 2 * source_size cap from r),
+o as (select *, cast(cap as double) / w ratio, sum(cap) over q - cap before, sum(w) over () - (sum(w) over q - w) left_w, sum(source_size) over () total from c window q as (order by cast(cap as double) / w, rank rows unbounded preceding)),
+l as (select min_by((cast(1.5 as double) * cast(total as double) - cast(before as double)) / cast(left_w as double), ratio) level from o where (cast(1.5 as double) * cast(total as double) - cast(before as double)) / cast(left_w as double) <= ratio),
+t as (select source, source_size, least(cast(cap as double), level * w) target from c, l),
+a as (select doc_id, size, source_size, target, floor(target) budget, case when source_size > 0 then floor(floor(target) / source_size) else 0 end epochs,
+  sum(size) over (partition by d.source order by k, doc_id, size rows unbounded preceding) - size before from d join t on d.source is not distinct from t.source)
+select doc_id, size, source_size, target, cast(epochs * size + greatest(0, least(budget - epochs * source_size - before, size)) as bigint) taken from a"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Twins of the queries that SQL can express; models, tokens and similarity are tested by brute force."""
+    return {"op5_mix_sources": _MIX, "op9_quality_rules": _QUALITY}
