@@ -179,3 +179,34 @@ def test_stream_equals_batch(spark, tmp_path):
     key = lambda df, *c: sorted(tuple("" if r[x] is None else r[x] for x in c) for r in df.collect())
     assert key(spark.read.parquet(str(tmp_path / "pages")), "doc_id", "page_num", "markdown") == key(batch, "doc_id", "page_num", "markdown")
     assert key(spark.read.parquet(str(tmp_path / "context")), "doc_id", "page_num", "prior") == key(prior_context(batch), "doc_id", "page_num", "prior")
+
+
+def test_progress(spark):
+    from foliomill.plans.progress import Progress, metadata_lines, observed, replay
+    from foliomill.queries import convert_documents
+
+    class Log(Progress):
+        def __init__(self):
+            self.events = []
+
+        def on_start(self, doc_id, total):
+            self.events.append(("start", doc_id))
+
+        def on_page_complete(self, doc_id, page_num, total, markdown_bytes):
+            self.events.append(("page", doc_id))
+
+        def on_page_error(self, doc_id, page_num, total, error):
+            self.events.append(("error", doc_id))
+
+        def on_complete(self, doc_id, total, processed):
+            self.events.append(("done", doc_id))
+
+    raw = raw_pages(spark, SF).filter("doc_id < 60")
+    log = Log()
+    replay(raw, convert_documents(spark, SF).filter("doc_id < 60"), log)
+    pages, seen = observed(raw)
+    pages.write.format("noop").mode("overwrite").save()
+    kinds = [k for k, _ in log.events]
+    assert kinds.count("start") == 60 and kinds.count("page") + kinds.count("error") == seen.get["pages"] and kinds.count("error") == seen.get["failed"]
+    assert ("done", 50) not in log.events and ("done", 1) in log.events
+    assert metadata_lines(inspect(docs(spark), TextPages())).filter("doc_id = 1").first().lines == "Page count: 3\nPdf version: Pdf1_4\nIs encrypted: false"
