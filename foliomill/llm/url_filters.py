@@ -125,20 +125,15 @@ def _grow(sample: DataFrame, model: Model, limits: dict[str, list[float]]) -> No
             return F.when(F.col(found[0]) <= found[1], node_of(2 * at)).otherwise(node_of(2 * at + 1))
         return F.lit(at)
 
-    for level in range(DEPTH + 1):
+    for level in range(DEPTH):
         nodes = range(1 << level, 2 << level)
         bins = F.array(*(F.struct(F.lit(k).alias("f"), _bin(F.col(f), limits[f]).alias("b")) for k, f in enumerate(FEATURES)))
         rows = sums.withColumn("_node", node_of()).filter(F.col("_node").isin(*nodes))
-        if level == DEPTH:
-            found = rows.groupBy("_node").agg(F.sum("_g").alias("g"), F.sum("_h").alias("h")).collect()
-            for r in found:
-                tree[r["_node"]] = RATE * r.g / (r.h + PENALTY)
-            break
         found = rows.select("_node", "_g", "_h", F.inline(bins)).groupBy("_node", "f", "b").agg(F.sum("_g").alias("g"), F.sum("_h").alias("h")).collect()
         for node in {r["_node"] for r in found}:
             own = sorted((r.f, r.b, round(r.g, 6), round(r.h, 6)) for r in found if r["_node"] == node)
             total_g, total_h = sum(r[2] for r in own if r[0] == 0), sum(r[3] for r in own if r[0] == 0)
-            best = (1e-6, None)
+            best, sides = (1e-6, None), ()
             for k, name in enumerate(FEATURES):
                 g = h = 0.0
                 for _, b, dg, dh in (r for r in own if r[0] == k):
@@ -146,8 +141,10 @@ def _grow(sample: DataFrame, model: Model, limits: dict[str, list[float]]) -> No
                     if b < len(limits[name]) and h >= LEAST and total_h - h >= LEAST:
                         gain = _gain(g, h) + _gain(total_g - g, total_h - h) - _gain(total_g, total_h)
                         if gain > best[0] + 1e-9:
-                            best = (gain, (name, limits[name][b]))
+                            best, sides = (gain, (name, limits[name][b])), ((g, h), (total_g - g, total_h - h))
             tree[node] = best[1] or RATE * total_g / (total_h + PENALTY)
+            if sides and level == DEPTH - 1:  # the same sums give the leaves
+                tree[2 * node], tree[2 * node + 1] = (RATE * g / (h + PENALTY) for g, h in sides)
         if not any(isinstance(tree.get(n), tuple) for n in nodes):
             break
 
