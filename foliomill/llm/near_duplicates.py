@@ -11,9 +11,11 @@
    rest are confirmed on full sets, recomputed from the texts of those documents.
 3. Confirmed links are contracted. A bucket with one component left is done.
    Members of other buckets are compared block by block, each block against
-   each, on signatures; pairs of different components that look alike are
-   confirmed as before. So no link between components is skipped because a
-   bucket is large.
+   each, on signatures. As long as that links components, every member proposes
+   only its most similar one of another component, so large groups of
+   near-copies grow together in a few rounds of few rows; then all remaining
+   pairs across components that look alike are confirmed. So no link between
+   components is skipped because a bucket is large.
 4. Components come from min-label propagation with pointer jumping over the
    links; each step is written to the shared folder.
 """
@@ -36,7 +38,7 @@ ROWS = 4
 BANDS = 32
 BITS = 8
 #: Candidates whose estimated similarity is so much below the threshold are discarded; over four standard errors.
-SLACK = 0.17
+SLACK = 0.16
 #: Members of a block when buckets are compared whole, and of a confirmed group.
 BLOCK = 128
 
@@ -136,14 +138,12 @@ def _confirm(table: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
-def _confirmed(pairs: DataFrame, rows: DataFrame, firsts: DataFrame) -> DataFrame:
+def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Pairs (a, b) whose full sets are similar enough. Each block carries its pivot's text once."""
     sizes = pairs.groupBy("a").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
     blocks = pairs.join(sizes, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("blocks")).alias("block"))
     heads = blocks.select("a", F.col("a").alias("b"), "block").distinct()
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    texts = rows.join(firsts.join(needed, "id"), "row_id").select(F.col("id").alias("b"), "text")
-    with_text = blocks.unionByName(heads).join(texts, "b")
+    with_text = blocks.unionByName(heads).join(texts.select(F.col("id").alias("b"), "text"), "b")
     return with_text.groupBy("a", "block").applyInArrow(_confirm, "a long, b long")
 
 
@@ -174,24 +174,36 @@ def _buckets(classes: DataFrame) -> DataFrame:
     return members.join(shared, "bucket")
 
 
-def _blocks_alike(table: pa.Table) -> pa.Table:
-    """Pairs of different components in two blocks (or one) whose signatures look alike."""
-    side = np.array(table.column("side").to_pylist())
-    ids = np.array(table.column("id").to_pylist(), dtype=np.int64)
-    label = np.array(table.column("label").to_pylist(), dtype=np.int64)
-    packed = np.frombuffer(b"".join(table.column("packed").to_pylist()), np.uint8).reshape(len(ids), -1)
-    left, right = np.flatnonzero(side == 0), np.flatnonzero(side == (1 if (side == 1).any() else 0))
-    a, b = [], []
-    for i in left:
-        others = right[(label[right] != label[i]) & (ids[right] != ids[i])]
-        if len(others):
-            for j in others[estimate(packed[others], packed[i]) >= SIMILARITY - SLACK]:
-                a.append(min(ids[i], ids[j]))
-                b.append(max(ids[i], ids[j]))
-    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+def _blocks_alike(best: bool):
+    """Compares two blocks, or one with itself, on signatures.
 
+    Gives pairs of different components that look alike: all of them, or with
+    ``best`` only each member's most similar one.
+    """
 
-def _rest(buckets: DataFrame, classes: DataFrame, labels: DataFrame) -> DataFrame:
+    def compare(table: pa.Table) -> pa.Table:
+        side = np.array(table.column("side").to_pylist())
+        ids = np.array(table.column("id").to_pylist(), dtype=np.int64)
+        label = np.array(table.column("label").to_pylist(), dtype=np.int64)
+        packed = np.frombuffer(b"".join(table.column("packed").to_pylist()), np.uint8).reshape(len(ids), -1)
+        left, right = np.flatnonzero(side == 0), np.flatnonzero(side == (1 if (side == 1).any() else 0))
+        a, b = [], []
+        for i in left:
+            others = right[(label[right] != label[i]) & (ids[right] != ids[i])]
+            if len(others):
+                rated = estimate(packed[others], packed[i])
+                chosen = np.flatnonzero(rated >= SIMILARITY - SLACK)
+                if best and len(chosen):
+                    chosen = chosen[[rated[chosen].argmax()]]
+                for j in others[chosen]:
+                    a.append(min(ids[i], ids[j]))
+                    b.append(max(ids[i], ids[j]))
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return compare
+
+
+def _rest(buckets: DataFrame, classes: DataFrame, labels: DataFrame, best: bool) -> DataFrame:
     """Candidate pairs across the components of a bucket, by comparing all its blocks."""
     members = buckets.filter("n > 2").select("bucket", "id", "n").join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
     split = members.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("bucket")  # two members have met already
@@ -200,7 +212,7 @@ def _rest(buckets: DataFrame, classes: DataFrame, labels: DataFrame) -> DataFram
     # block k meets every block: as the left side of (k, j) for j >= k and the right side of (j, k) for j < k
     meets = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda j: F.struct(F.least(j, F.col("block")).alias("i"), F.greatest(j, F.col("block")).alias("j"), F.when(F.col("block") <= j, 0).otherwise(1).alias("side")))
     placed = members.select("bucket", "id", "label", F.inline(meets)).join(classes.select("id", "packed"), "id")
-    return placed.groupBy("bucket", "i", "j").applyInArrow(_blocks_alike, "a long, b long").distinct()
+    return placed.groupBy("bucket", "i", "j").applyInArrow(_blocks_alike(best), "a long, b long").distinct()
 
 
 def labelled(docs: DataFrame) -> DataFrame:
@@ -217,13 +229,23 @@ def labelled(docs: DataFrame) -> DataFrame:
     packed = classes.select("id", "packed")
     rated = stars.join(packed.toDF("a", "pa"), "a").join(packed.toDF("b", "pb"), "b").select("a", "b", "pa", "pb").mapInArrow(_alike, "a long, b long")
     pairs = materialize(rated, "pairs")
-    links = materialize(_confirmed(pairs, rows, firsts), "confirmed")
+    members = buckets.select("id").distinct()
+    texts = materialize(rows.join(firsts.join(members, "id"), "row_id").select("id", "text"), "texts")
+    links = materialize(_confirmed(pairs, texts), "confirmed")
     labels = components(links)
     tried = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = materialize(_rest(buckets, classes, labels).join(tried, ["a", "b"], "left_anti"), "more")
-    if more.limit(1).count():
-        links = links.unionByName(_confirmed(more, rows, firsts))
-        labels = components(links)
+    best = True
+    while True:
+        more = materialize(_rest(buckets, classes, labels, best).join(tried, ["a", "b"], "left_anti"), "more")
+        new = materialize(_confirmed(more, texts), "confirmed")
+        linked = new.limit(1).count() > 0
+        if linked:
+            links, tried = links.unionByName(new), tried.unionByName(more)
+            labels = components(links)
+        if not best:
+            break
+        best = linked
+    # with best unset, every pair across components that looks alike has been tried
     named = classes.join(labels, "id", "left").select("digest", F.coalesce("label", "id").alias("component"))
     out = profile.select("row_id", "doc_id", "n_shingles", "digest").join(named, "digest", "left")
     return out.select("row_id", "doc_id", "n_shingles", F.coalesce(F.col("component"), F.col("doc_id")).alias("component_id"))
