@@ -82,3 +82,16 @@ def test_homomorphism():
     assert combine(h.fingerprint(f"{a}\n{b}"), h.fingerprint(c)) == whole
     assert combine(whole, h.fingerprint(c), -1) == h.fingerprint(f"{b}\n{a}")
     assert likeness(whole, h.fingerprint(f"{a}\n{b}")) > likeness(whole, h.fingerprint("nothing of it is here at all"))
+
+
+def test_ids_equal_the_library():
+    import random
+
+    from foliomill.llm.packing import default_vocabulary, token_bytes
+
+    library = Tokenizer.from_file(default_vocabulary())
+    rng = random.Random(9)
+    signs = "ab Z\n\t  '.,!?09²éß日😀́  \x1c\x85<|>_-"
+    texts = ["".join(rng.choices(signs, k=rng.randint(0, 40))) for _ in range(5000)] + ["it's they'll I'D", "<|endoftext|>", "w" * 3000, "1" * 500]
+    for text, data in zip(texts, token_bytes(texts, default_vocabulary())):
+        assert data == np.array(library.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), text
