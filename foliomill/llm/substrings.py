@@ -5,8 +5,9 @@ it are zero, so boundaries depend on the last few bytes only and come back
 after any insertion. A chunk reaches back over earlier boundaries until it has
 LEAST bytes. Chunks are grouped by digest (pre-aggregated, so a frequent chunk
 costs one row per task); the smallest document that has a chunk is its first.
-Runs of chunks at one distance from a first document are candidates, and each
-is extended on the two texts, byte by byte, to the longest passage they share.
+Chunks at one distance from a first document are candidates, and each that lies
+beyond the passages found before it is extended on the two texts, byte by byte,
+to the longest passage they share.
 Groups hold one first document and a block of others, never a whole group.
 """
 
@@ -26,7 +27,7 @@ from .common import materialize, text_or_empty
 CUT_BITS = 5
 SHIFT = 11
 LEAST = 32
-#: Candidates span this many bytes of chunks at least.
+#: The chunks of one distance span this many bytes at least.
 SPAN = 64
 #: A repeated passage has more words than this.
 WORDS = 50
@@ -86,12 +87,12 @@ def _passages(least_words: int):
                 if r["row_id"] == r["first_row"]:
                     continue
                 data = r["text"].encode()
-                a, done = np.frombuffer(data, np.uint8), -1
+                a, done, tried = np.frombuffer(data, np.uint8), -1, {}
                 for seed in sorted(r["seeds"], key=lambda s: (s["start"], s["delta"])):
                     at, other = seed["start"], seed["start"] - seed["delta"]
-                    if seed["end"] <= done:
+                    if seed["end"] <= max(done, tried.get(seed["delta"], -1)):
                         continue
-                    end = at + _reach(a[at:], b[other:])
+                    tried[seed["delta"]] = end = at + _reach(a[at:], b[other:])
                     start = at - _reach(a[:at][::-1], b[:other][::-1])
                     passage = data[start:end]
                     n = len(passage.split())
@@ -122,9 +123,10 @@ def repeated_passages(docs: DataFrame, *, words: int = WORDS) -> DataFrame:
     first = F.min(F.struct("doc_id", "row_id", "start")).alias("first")
     shared = found.groupBy("digest").agg(first, F.max("doc_id").alias("last")).filter("first.doc_id < last")
     hits = found.join(shared.select("digest", "first"), "digest").filter("doc_id <> first.doc_id")
-    runs = hits.groupBy("row_id", "doc_id", F.col("first.row_id").alias("first_row"), (F.col("start") - F.col("first.start")).alias("delta"))
-    runs = runs.agg(F.min("start").alias("start"), F.max("end").alias("end")).filter(F.col("end") - F.col("start") >= SPAN)
-    pairs = runs.groupBy("row_id", "first_row").agg(F.collect_list(F.struct("start", "end", "delta")).alias("seeds"))
+    hits = hits.select("row_id", F.col("first.row_id").alias("first_row"), "start", "end", (F.col("start") - F.col("first.start")).alias("delta"))
+    # every hit stays a seed: texts may differ between two hits of one distance
+    runs = hits.groupBy("row_id", "first_row", "delta").agg(F.collect_list(F.struct("start", "end", "delta")).alias("hits"), (F.max("end") - F.min("start")).alias("span"))
+    pairs = runs.filter(F.col("span") >= SPAN).groupBy("row_id", "first_row").agg(F.flatten(F.collect_list("hits")).alias("seeds"))
     pairs = materialize(pairs, "passages")
     sizes = pairs.groupBy("first_row").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
     blocks = pairs.join(sizes, "first_row").select("row_id", "first_row", "seeds", F.pmod(F.xxhash64("row_id"), F.col("blocks")).alias("block"))

@@ -68,3 +68,13 @@ def test_passage_edges(spark):
     got = repeated_passages(spark.createDataFrame(extra, SCHEMA)).collect()
     assert {(r.doc_id, r.first_doc_id) for r in got} == {(92, 91)}
     assert repeated_passages(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_passages_at_one_distance(spark):
+    rng = random.Random(12)
+    words = lambda n: " ".join("".join(rng.choices("etaoinshrdlu", k=rng.randint(2, 9))) for _ in range(n))
+    a, b, short = words(90), words(90), words(30)
+    texts = [f"{a} foo {b}", f"{a} bar {b}", f"{short} one {a}", f"{short} two {a}"]
+    got = repeated_passages(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    held = lambda i, part: any(part in texts[i][r.start : r.end] for r in got if r.doc_id == i)
+    assert held(1, a) and held(1, b) and held(2, a) and held(3, a)
