@@ -12,6 +12,7 @@ the sequence.
 
 from __future__ import annotations
 
+import re
 import struct
 import sys
 import types
@@ -72,19 +73,21 @@ def _worker(path: str):
     return kept.__dict__[path]
 
 
+#: A space between two characters that aren't blank, and the blanks besides space and line feed.
+_SINGLE = re.compile(r"(?<=\S) (?=\S)")
+_RARE = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"]
+
+
 def _chunks(text: str) -> list[str]:
-    """Cut before every run of spaces; the pre-tokenizer never joins across such a place."""
+    """Cut before every single space between two other characters; mixed runs of blanks stay whole within a chunk.
+
+    There the pattern always starts a new piece: such a space goes with what
+    follows it, and what precedes it ends no run of blanks.
+    """
     parts = text.split(" ")
-    if "" not in parts:
-        return parts[:1] + [" " + p for p in parts[1:]]
-    out, run = [], ""
-    for k, p in enumerate(parts):
-        run += " " * bool(k)
-        if p or k == len(parts) - 1:
-            if run or p:
-                out.append(run + p)
-            run = ""
-    return out
+    if "" in parts or " \n" in text or "\n " in text or any(c in text for c in _RARE):  # some space has a blank beside it, or may have
+        parts = _SINGLE.split(text) if text else []
+    return parts[:1] + [" " + p for p in parts[1:]]
 
 
 def token_bytes(texts: list[str], path: str) -> list[bytes]:

@@ -95,3 +95,16 @@ def test_ids_equal_the_library():
     texts = ["".join(rng.choices(signs, k=rng.randint(0, 40))) for _ in range(5000)] + ["it's they'll I'D", "<|endoftext|>", "w" * 3000, "1" * 500]
     for text, data in zip(texts, token_bytes(texts, default_vocabulary())):
         assert data == np.array(library.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), text
+
+
+def test_ids_equal_the_library_at_mixed_blanks():
+    import random
+
+    from foliomill.llm.packing import default_vocabulary, token_bytes
+
+    library = Tokenizer.from_file(default_vocabulary())
+    rng = random.Random(10)
+    texts = ["a" + " \u00a0" * n + tail for n in range(1, 18) for tail in (" x", "x", "", " ")]
+    texts += ["".join(rng.choices(" \u00a0\n\t\u2003\u3000\x1c\x85\u200bab1.'", weights=[8, 8] + [1] * 12, k=rng.randint(0, 40))) for _ in range(5000)]
+    for text, data in zip(texts, token_bytes(texts, default_vocabulary())):
+        assert data == np.array(library.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), text
