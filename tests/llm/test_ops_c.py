@@ -1,6 +1,7 @@
 """Pseudonyms by exact round trip; repeated passages by brute force on planted texts."""
 
 import random
+import re
 
 from foliomill.llm.pseudonyms import Feistel, Pseudonyms, _luhn, _mod97, pseudonyms
 from foliomill.llm.substrings import repeated_passages
@@ -78,3 +79,24 @@ def test_passages_at_one_distance(spark):
     got = repeated_passages(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
     held = lambda i, part: any(part in texts[i][r.start : r.end] for r in got if r.doc_id == i)
     assert held(1, a) and held(1, b) and held(2, a) and held(3, a)
+
+
+def test_every_window_is_covered(spark):
+    rng = random.Random(13)
+    words = lambda n: " ".join("".join(rng.choices("etaoinshrdlu", k=rng.randint(2, 9))) for _ in range(n))
+    x, y, lines = words(30), words(30), [words(12) + "." for _ in range(12)]
+    texts = [f"{words(9)} {x} {words(9)}", f"{words(9)} {y} {words(9)}", f"{words(9)} {x} {y} {words(9)}", f"{words(9)} {x} {y} {words(9)}"]
+    texts += ["\n".join(rng.choices(lines, k=rng.randint(3, 12))) for _ in range(150)]
+    for n in range(51, 61):
+        for _ in range(15):
+            part = words(n)
+            texts += [f"{words(20)} {part} {words(20)}", f"{words(20)} {part}, {words(20)}"]
+    got = repeated_passages(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert all(texts[r.doc_id][r.start : r.end] in texts[r.first_doc_id] and r.first_doc_id < r.doc_id and r.n_words > 50 for r in got)
+    seen, missed = set(), []
+    for i, t in enumerate(texts):
+        at = [m.span() for m in re.finditer(r"[^\x20\x09-\x0D]+", t)]
+        spans = [(at[k][0], at[k + 50][1]) for k in range(len(at) - 50)]
+        missed += [(i, s, e) for s, e in spans if t[s:e] in seen and not any(r.doc_id == i and r.start <= s and e <= r.end for r in got)]
+        seen.update(t[s:e] for s, e in spans)
+    assert not missed
