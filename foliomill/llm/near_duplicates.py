@@ -2,22 +2,25 @@
 
 1. Every text becomes its set of hashed word shingles; texts with equal sets
    form a class, merged by a pre-aggregated group-by, so copies cost nothing
-   further. A class keeps its smallest id and a packed signature: the low BITS
-   bits of each of BANDS * ROWS minima.
-2. Bands of the signature make candidates. In each round a bucket links its
-   members to two pivots only (the smallest id, the smallest hash): rows grow
-   with the members, not with their pairs. Packed signatures, compared by bit
-   counts and corrected for chance collisions, discard unlikely candidates; the
-   rest are confirmed on full sets, recomputed from the texts of those documents.
-3. Confirmed links are contracted. A bucket with one component left is done.
-   Members of other buckets are compared block by block, each block against
-   each, on signatures. As long as that links components, every member proposes
-   only its most similar one of another component, so large groups of
-   near-copies grow together in a few rounds of few rows; then all remaining
-   pairs across components that look alike are confirmed. So no link between
-   components is skipped because a bucket is large.
+   further. A class has a number of its own, keeps its smallest document id and a
+   packed signature: the low BITS bits of each of BANDS * ROWS minima.
+2. Bands of the signature make candidates. A bucket first links its members to
+   two pivots only (the smallest number, the smallest hash): rows grow with the
+   members, not with their pairs. Packed signatures, compared by bit counts and
+   corrected for chance collisions, discard unlikely candidates; the rest are
+   confirmed on full sets, recomputed from the texts of those documents.
+3. Confirmed links are contracted. A bucket with one component left is done. In
+   every other one, the members outside its largest component meet all its
+   members, block by block. A pair of two components is looked at in its first
+   common bucket only; if it looks alike, it is confirmed right there on full
+   sets, unless the links found so far in the block join its components already.
+   Only links leave a block, fewer than it has members. So no link between
+   components is skipped because a bucket is large, and no list of pairs is made.
 4. Components come from min-label propagation with pointer jumping over the
    links; each step is written to the shared folder.
+
+Rows are found again by their id and a hash of their text, never by their place
+in a scan, so the input may be any table.
 """
 
 from __future__ import annotations
@@ -30,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, text_or_empty
+from .common import WORD, materialize, text_or_empty
 
 WORDS = 5
 SIMILARITY = 0.75
@@ -39,18 +42,24 @@ BANDS = 32
 BITS = 8
 #: Candidates whose estimated similarity is so much below the threshold are discarded; over four standard errors.
 SLACK = 0.16
-#: Members of a block when buckets are compared whole, and of a confirmed group.
+#: Members of a confirmed group.
 BLOCK = 128
+#: Members, and shingles of all of them, about, of a block when buckets are compared whole.
+WIDE_BLOCK, WIDE_SHINGLES = 1024, 500_000
+#: Words whose hashes a task remembers.
+KNOWN_WORDS = 100_000
 
 _rng = np.random.default_rng(7)
-_A = (_rng.integers(0, 2**32, BANDS * ROWS, dtype=np.uint32) | np.uint32(1)).tolist()
-_B = _rng.integers(0, 2**32, BANDS * ROWS, dtype=np.uint32).tolist()
+_A = _rng.integers(0, 2**32, (BANDS * ROWS, 1), dtype=np.uint32) | np.uint32(1)
+_B = _rng.integers(0, 2**32, (BANDS * ROWS, 1), dtype=np.uint32)
+#: Shingles that all hash functions take at once.
+STEP = 512
 
 
 class Shingler:
     """Sets of hashed word shingles; remembers the hashes of short words."""
 
-    def __init__(self, most: int = 500_000):
+    def __init__(self, most: int = KNOWN_WORDS):
         self.known: dict[bytes, int] = {}
         self.most = most
 
@@ -81,9 +90,11 @@ class Shingler:
 def signature(shingles: np.ndarray) -> bytes:
     """The low bits of the minima of all hash functions, one byte each."""
     x = (shingles >> np.uint64(32)).astype(np.uint32) ^ shingles.astype(np.uint32)
-    minima = np.empty(len(_A), dtype=np.uint32)
-    for k, (a, b) in enumerate(zip(_A, _B)):
-        minima[k] = (x * np.uint32(a) + np.uint32(b)).min()
+    minima = np.full(len(_A), 2**32 - 1, dtype=np.uint32)
+    for at in range(0, len(x), STEP):
+        hashed = _A * x[at : at + STEP]
+        hashed += _B
+        np.minimum(minima, hashed.min(axis=1), out=minima)
     minima ^= minima >> np.uint32(15)
     minima *= np.uint32(0x85EBCA6B)
     return (minima >> np.uint32(32 - BITS)).astype(np.uint8).tobytes()
@@ -110,7 +121,7 @@ def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 count.append(len(found))
                 digest.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest() if len(found) else None)
                 packed.append(signature(found) if len(found) else None)
-            yield pa.RecordBatch.from_arrays([part.column("row_id"), part.column("doc_id"), pa.array(count, pa.int64()), pa.array(digest, pa.binary()), pa.array(packed, pa.binary())], ["row_id", "doc_id", "n_shingles", "digest", "packed"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("mark"), pa.array(count, pa.int64()), pa.array(digest, pa.binary()), pa.array(packed, pa.binary())], ["doc_id", "mark", "n_shingles", "digest", "packed"])
 
 
 def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,7 +168,8 @@ def components(links: DataFrame, name: str = "labels") -> DataFrame:
     both = materialize(both.distinct(), "links")
     labels = materialize(both.groupBy("id").agg(F.least(F.min("to"), F.first("id")).alias("label")), name)
     while True:
-        near = both.join(labels.select(F.col("id").alias("to"), "label"), "to").groupBy("id").agg(F.min("label").alias("near"))
+        # a hub's neighbours are many: a merge join lets Spark split that key
+        near = both.join(labels.select(F.col("id").alias("to"), "label").hint("merge"), "to").groupBy("id").agg(F.min("label").alias("near"))
         step = labels.join(near, "id").select("id", F.col("label").alias("old"), F.least("label", "near").alias("to"))
         step = step.join(labels.select(F.col("id").alias("to"), F.col("label").alias("jump")), "to", "left")
         step = materialize(step.select("id", "old", F.least("to", F.coalesce("jump", "to")).alias("label")), name)
@@ -167,88 +179,115 @@ def components(links: DataFrame, name: str = "labels") -> DataFrame:
 
 
 def _buckets(classes: DataFrame) -> DataFrame:
-    """(bucket, id) for buckets of two members at least."""
+    """(bucket, band, id, n, least, other) for buckets of two members at least."""
     bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda k: F.xxhash64(k, F.substring(F.col("packed"), k * ROWS + 1, F.lit(ROWS))))
-    members = classes.select("id", F.explode(bands).alias("bucket"))
+    members = classes.select("id", F.posexplode(bands).alias("band", "bucket"))
     shared = members.groupBy("bucket").agg(F.count("*").alias("n"), F.min("id").alias("least"), F.min_by("id", F.xxhash64("id")).alias("other")).filter("n > 1")
-    return members.join(shared, "bucket")
+    return members.join(shared.hint("merge"), "bucket")
 
 
-def _blocks_alike(best: bool):
-    """Compares two blocks, or one with itself, on signatures.
+def _block_links(table: pa.Table) -> pa.Table:
+    """Links between components within one pair of blocks, as many as join what can be joined.
 
-    Gives pairs of different components that look alike: all of them, or with
-    ``best`` only each member's most similar one.
+    Left are the rows of the left block, right all of the right one; a row may be
+    both. Pairs in which both sides are outside the main component are looked at
+    from the smaller number only.
     """
+    ids, label, band, n, side, rest = (np.array(table.column(c).to_pylist(), dtype=np.int64) for c in ("id", "label", "band", "n_shingles", "side", "rest"))
+    packed = np.frombuffer(b"".join(table.column("packed").to_pylist()), np.uint8).reshape(len(ids), -1)
+    bands, texts = packed.view(np.uint32), table.column("text")
+    shingler, sets, root = Shingler(), {}, {x: x for x in set(label.tolist())}
+
+    def full(i: int) -> frozenset:
+        if i not in sets:
+            sets[i] = frozenset(shingler.shingles(texts[i].as_py()).tolist())
+        return sets[i]
+
+    def top(x: int) -> int:
+        while root[x] != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
+    a, b = [], []
+    for i in left.tolist():
+        meets = (label[right] != label[i]) & ((rest[right] == 0) | (ids[right] > ids[i]))
+        meets &= (4 * np.minimum(n[right], n[i]) >= 3 * np.maximum(n[right], n[i]))
+        others = right[meets]
+        others = others[(bands[others] == bands[i]).argmax(axis=1) == band[i]] if len(others) else others
+        if not len(others):
+            continue
+        rated = estimate(packed[others], packed[i])
+        order = np.argsort(-rated, kind="stable")
+        for j in others[order[: int((rated >= SIMILARITY - SLACK).sum())]].tolist():
+            x, y = top(int(label[i])), top(int(label[j]))
+            if x != y:
+                own, other = full(i), full(j)
+                common = len(own & other)
+                if 100 * common >= 100 * SIMILARITY * (len(own) + len(other) - common):
+                    root[max(x, y)] = min(x, y)
+                    a.append(int(ids[i]))
+                    b.append(int(ids[j]))
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    def compare(table: pa.Table) -> pa.Table:
-        side = np.array(table.column("side").to_pylist())
-        ids = np.array(table.column("id").to_pylist(), dtype=np.int64)
-        label = np.array(table.column("label").to_pylist(), dtype=np.int64)
-        packed = np.frombuffer(b"".join(table.column("packed").to_pylist()), np.uint8).reshape(len(ids), -1)
-        left, right = np.flatnonzero(side == 0), np.flatnonzero(side == (1 if (side == 1).any() else 0))
-        a, b = [], []
-        for i in left:
-            others = right[(label[right] != label[i]) & (ids[right] != ids[i])]
-            if len(others):
-                rated = estimate(packed[others], packed[i])
-                chosen = np.flatnonzero(rated >= SIMILARITY - SLACK)
-                if best and len(chosen):
-                    chosen = chosen[[rated[chosen].argmax()]]
-                for j in others[chosen]:
-                    a.append(min(ids[i], ids[j]))
-                    b.append(max(ids[i], ids[j]))
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
-
-    return compare
-
-
-def _rest(buckets: DataFrame, classes: DataFrame, labels: DataFrame, best: bool) -> DataFrame:
-    """Candidate pairs across the components of a bucket, by comparing all its blocks."""
-    members = buckets.filter("n > 2").select("bucket", "id", "n").join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
-    split = members.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("bucket")  # two members have met already
-    members = members.join(split, "bucket")
-    members = members.withColumn("blocks", F.ceil(F.col("n") / BLOCK)).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
-    # block k meets every block: as the left side of (k, j) for j >= k and the right side of (j, k) for j < k
-    meets = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda j: F.struct(F.least(j, F.col("block")).alias("i"), F.greatest(j, F.col("block")).alias("j"), F.when(F.col("block") <= j, 0).otherwise(1).alias("side")))
-    placed = members.select("bucket", "id", "label", F.inline(meets)).join(classes.select("id", "packed"), "id")
-    return placed.groupBy("bucket", "i", "j").applyInArrow(_blocks_alike(best), "a long, b long").distinct()
-
-
-def labelled(docs: DataFrame) -> DataFrame:
-    """row_id, doc_id, n_shingles, component_id of every row; row_id is its position in the scan."""
-    rows = docs.select(F.monotonically_increasing_id().alias("row_id"), F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    profile = materialize(rows.mapInArrow(_profile, "row_id long, doc_id long, n_shingles long, digest binary, packed binary"), "profile")
-    # the smallest id stands for a class, and with it one of its rows
-    first = F.min(F.struct("doc_id", "row_id"))
-    grouped = profile.filter("digest is not null and doc_id is not null").groupBy("digest").agg(first.alias("first"), F.first("packed").alias("packed"))
-    classes = materialize(grouped.select("digest", F.col("first.doc_id").alias("id"), F.col("first.row_id").alias("row_id"), "packed"), "classes")
-    firsts = classes.select("row_id", "id")
+
+def _rest(buckets: DataFrame, classes: DataFrame, labels: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links across the components of a bucket: who is outside the largest one against all, block by block."""
+    members = buckets.filter("n > 2").select("bucket", "band", "id").join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))  # two members have met already
+    members = members.join(classes.select("id", "packed", "n_shingles"), "id")
+    parts = members.groupBy("bucket", "label").agg(F.count("*").alias("k"), F.sum("n_shingles").alias("s"))
+    largest = F.max(F.struct("k", "s", "label"))
+    wide = lambda k, s: F.ceil(F.greatest(k / WIDE_BLOCK, s / WIDE_SHINGLES)).cast("long")
+    split = parts.groupBy("bucket").agg(largest.alias("main"), F.sum("k").alias("k"), F.sum("s").alias("s"), F.count("*").alias("labels")).filter("labels > 1")
+    split = split.select("bucket", F.col("main.label").alias("main"), wide(F.col("k") - F.col("main.k"), F.col("s") - F.col("main.s")).alias("lefts"), wide(F.col("k"), F.col("s")).alias("rights"))
+    placed = members.join(split.hint("merge"), "bucket").withColumn("rest", (F.col("label") != F.col("main")).cast("int"))
+    place = placed.withColumn("l", F.pmod(F.xxhash64("id", F.lit(1)), F.col("lefts"))).withColumn("r", F.pmod(F.xxhash64("id", F.lit(2)), F.col("rights")))
+    # side 1: right member of (every l, own r), side 0: left member of (own l, another r), side 2: both in (own l, own r)
+    as_right = F.transform(F.sequence(F.lit(0).cast("long"), F.col("lefts") - 1), lambda k: F.struct(k.alias("i"), F.col("r").alias("j"), F.when((F.col("rest") == 1) & (k == F.col("l")), 2).otherwise(1).alias("side")))
+    as_left = F.transform(F.filter(F.sequence(F.lit(0).cast("long"), F.col("rights") - 1), lambda k: (F.col("rest") == 1) & (k != F.col("r"))), lambda k: F.struct(F.col("l").alias("i"), k.alias("j"), F.lit(0).alias("side")))
+    placed = place.select("bucket", "band", "id", "label", "rest", "packed", "n_shingles", F.inline(F.concat(as_right, as_left))).join(texts, "id")
+    return placed.groupBy("bucket", "i", "j").applyInArrow(_block_links, "a long, b long")
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, text, and ``mark``, a hash of the text."""
+    text = text_or_empty()
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("mark"))
+
+
+def _find(rows: DataFrame, wanted: DataFrame, by: str, get: str) -> DataFrame:
+    """(by, get): of the rows with a wanted (doc_id, mark) one each. Equal rows are merged where they are read."""
+    wanted = wanted.select(by, F.col("doc_id").alias("_doc"), F.col("mark").alias("_mark"), F.xxhash64("doc_id", "mark").alias("_key"))
+    same = F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("mark") == F.col("_mark"))
+    return rows.withColumn("_key", F.xxhash64("doc_id", "mark")).join(wanted, "_key").filter(same).groupBy("_key", by).agg(F.first(get).alias(get)).select(by, get)
+
+
+def classified(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(profile, classes): doc_id, n_shingles and digest of every row; and for every class its digest, the
+    number of its component (``label``), the smallest id of the class (``doc_id``) and of its component
+    (``component``), and the mark of the text that stands for the class."""
+    rows = _keyed(docs)
+    profile = materialize(rows.select("doc_id", "mark", "text").mapInArrow(_profile, "doc_id long, mark long, n_shingles long, digest binary, packed binary"), "profile")
+    # the smallest id stands for a class, and with it one of its texts; rows without an id only where there is no other
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark"))
+    grouped = profile.filter("digest is not null").groupBy("digest").agg(first.alias("first"), F.first("packed").alias("packed"), F.first("n_shingles").alias("n_shingles"))
+    numbered = grouped.select(F.monotonically_increasing_id().alias("id"), "digest", F.col("first.doc_id").alias("doc_id"), F.col("first.mark").alias("mark"), "packed", "n_shingles")
+    classes = materialize(numbered, "classes")  # numbers hold from here on
     buckets = materialize(_buckets(classes), "buckets")
     stars = buckets.select(F.col("id").alias("b"), F.explode(F.array("least", "other")).alias("a")).filter("a <> b").distinct()
     packed = classes.select("id", "packed")
-    rated = stars.join(packed.toDF("a", "pa"), "a").join(packed.toDF("b", "pb"), "b").select("a", "b", "pa", "pb").mapInArrow(_alike, "a long, b long")
-    pairs = materialize(rated, "pairs")
-    members = buckets.select("id").distinct()
-    texts = materialize(rows.join(firsts.join(members, "id"), "row_id").select("id", "text"), "texts")
-    links = materialize(_confirmed(pairs, texts), "confirmed")
-    labels = components(links)
-    tried = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    best = True
-    while True:
-        more = materialize(_rest(buckets, classes, labels, best).join(tried, ["a", "b"], "left_anti"), "more")
-        new = materialize(_confirmed(more, texts), "confirmed")
-        linked = new.limit(1).count() > 0
-        if linked:
-            links, tried = links.unionByName(new), tried.unionByName(more)
-            labels = components(links)
-        if not best:
-            break
-        best = linked
-    # with best unset, every pair across components that looks alike has been tried
-    named = classes.join(labels, "id", "left").select("digest", F.coalesce("label", "id").alias("component"))
-    out = profile.select("row_id", "doc_id", "n_shingles", "digest").join(named, "digest", "left")
-    return out.select("row_id", "doc_id", "n_shingles", F.coalesce(F.col("component"), F.col("doc_id")).alias("component_id"))
+    pairs = stars.join(packed.toDF("a", "pa"), "a").join(packed.toDF("b", "pb"), "b").select("a", "b", "pa", "pb").mapInArrow(_alike, "a long, b long")
+    texts = materialize(_find(rows, classes.join(buckets.select("id").distinct(), "id"), "id", "text"), "texts")
+    labels = components(materialize(_confirmed(materialize(pairs, "pairs"), texts), "confirmed"))
+    # further links join whole components: only their numbers are left to be merged
+    more = materialize(_rest(buckets, classes, labels, texts), "links")
+    of = lambda side: labels.select(F.col("id").alias(side), F.col("label").alias(f"l{side}"))
+    lifted = more.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))
+    merged = components(lifted).toDF("first", "merged")
+    known = classes.select("id", "digest", "doc_id", "mark").join(labels, "id", "left").withColumn("first", F.coalesce("label", "id")).drop("label")
+    known = known.join(merged.hint("merge"), "first", "left").withColumn("label", F.coalesce("merged", "first"))
+    named = known.groupBy("label").agg(F.min("doc_id").alias("component"))
+    return profile.select("doc_id", "n_shingles", "digest"), known.join(named.hint("merge"), "label")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -256,21 +295,26 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     Reads ``doc_id`` and ``text``. Texts without words (null, empty, blanks) have
     no shingles and are linked with nothing; shorter ones are one shingle. Rows
-    with a null id join the component of equal texts but name none; without such
-    a text their component is null and they are kept. Rows with one id share a
-    component only through their texts. An empty table gives an empty result.
+    with a null id take part in links but name no component; a component of such
+    rows alone has a null id and they are kept. Rows that share an id are linked
+    by their texts only. An empty table gives an empty result.
     """
-    return labelled(docs).select("doc_id", "n_shingles", "component_id", F.col("component_id").eqNullSafe(F.col("doc_id")).alias("kept"))
+    profile, classes = classified(docs)
+    out = profile.join(classes.select("digest", F.lit(True).alias("in"), "component").hint("merge"), "digest", "left")
+    component = F.when(F.col("in"), F.col("component")).otherwise(F.col("doc_id"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The input rows without near-duplicates: of each component the row with its id, once; rows without words stay.
+    """The input rows without near-duplicates: of each component one row with its smallest id; rows without words stay.
 
-    ``docs`` must be a stored table, so that its rows keep their positions.
+    A component of rows without ids keeps one of them. Equal rows are
+    interchangeable, and extra columns pass through under any name.
     """
-    found = labelled(docs)
-    named = F.when((F.col("n_shingles") > 0) & F.col("component_id").isNotNull(), F.col("component_id"))
-    first = found.filter(named.isNotNull() & (F.col("doc_id") == F.col("component_id"))).groupBy("component_id").agg(F.min("row_id").alias("row_id")).select("row_id")
-    stay = first.unionByName(found.filter(named.isNull()).select("row_id"))
-    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.monotonically_increasing_id().alias("row_id"))
-    return rows.join(stay, "row_id").select("_row.*")
+    _, classes = classified(docs)
+    first = classes.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "mark")).alias("first"))
+    stay = materialize(first.select("label", "first.doc_id", "first.mark"), "kept")
+    text = text_or_empty()
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("mark"), text.rlike(WORD).alias("words"))
+    one = _find(rows.filter("words"), stay, "label", "row")
+    return one.select("row").unionByName(rows.filter("not words").select("row")).select("row.*")
