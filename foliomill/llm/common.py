@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -11,27 +12,52 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 BLANKS = r"[\x20\x09-\x0D]+"
 
-#: Where tables go when the session names no shared folder (tests, local runs).
+#: Where tables go in local sessions (tests) that name no shared folder.
 LOCAL_SHARED = "/tmp/checkpoints"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or our own where it is unset."""
+    """The folder that all executors share: spark.checkpoint.dir, or the one set by setCheckpointDir.
+
+    A local session without either gets one of its own; a cluster without either is an error.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
+    known = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if known.isDefined():
+        return known.get()
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     spark.sparkContext.setCheckpointDir(LOCAL_SHARED)
-    return LOCAL_SHARED
+    return spark.sparkContext._jsc.sc().getCheckpointDir().get()
+
+
+_written: list[tuple[SparkSession, str]] = []
+
+
+@atexit.register
+def drop_tables() -> None:
+    """Remove the tables that this process has written; called at its end, and by long sessions between queries.
+
+    Results that have not been written or collected yet must not be read afterwards.
+    """
+    while _written:
+        spark, path = _written.pop()
+        if spark.sparkContext._jsc is not None:
+            where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write a table into the shared folder and read it back.
 
     This cuts lineage and lets several consumers read one result; the files
-    survive lost executors. They stay until the folder is cleaned.
+    survive lost executors. They stay until ``drop_tables``.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
+    _written.append((spark, path))
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
