@@ -12,10 +12,9 @@ the sequence.
 
 from __future__ import annotations
 
+import json
 import re
 import struct
-import sys
-import types
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -36,10 +35,9 @@ GAP = 0.002
 SMOOTH = 0.8
 #: Columns generated at most, so that the program's time is bounded; any stop leaves a full packing.
 MOST_COLUMNS = 3000
-#: Chunks a worker remembers, and the longest it remembers.
-CACHE = 400_000
+#: Bytes of chunks that a worker remembers, about, and the longest it remembers.
+CACHE_BYTES = 24_000_000
 CACHE_CHARS = 64
-SPECIAL = "<|endoftext|>"
 
 
 def default_vocabulary() -> str:
@@ -51,26 +49,55 @@ def default_vocabulary() -> str:
 # -- tokens -------------------------------------------------------------------
 
 
-def _byte_ranks(tokenizer) -> dict[bytes, int]:
-    """The vocabulary as bytes by rank: byte-level letters stand for bytes, ids are in merge order."""
+def _byte_letters() -> dict[str, int]:
+    """The letters that stand for bytes in a byte-level vocabulary."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
     rest = [b for b in range(256) if b not in plain]
-    of = {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
-    return {bytes(of[c] for c in word): i for word, i in tokenizer.get_vocab(with_added_tokens=False).items() if word != SPECIAL}
+    return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
 
 
-def _worker(path: str):
-    """The tokenizer, a faster encoder of the same vocabulary, and the chunks seen; one for each worker process."""
-    kept = sys.modules.setdefault("_packing_worker", types.ModuleType("_packing_worker"))
-    if path not in kept.__dict__:
+class Encoder:
+    """The ids of texts as the tokenizers library gives them, by a faster encoder of the same vocabulary.
+
+    It stays for a worker's life, so what it remembers is bounded; the library's
+    own tokenizer is loaded when a text holds one of the added tokens.
+    """
+
+    def __init__(self, path: str):
         import public_tokenizers
         import tiktoken
-        from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(path)
-        quick = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=_byte_ranks(tokenizer), special_tokens={})
-        kept.__dict__[path] = (tokenizer, quick.encode_ordinary, {})
-    return kept.__dict__[path]
+        with open(path, encoding="utf-8") as file:  # installed beside the library on every machine
+            spec = json.load(file)
+        letters = _byte_letters()
+        self.path, self.tokenizer, self.known, self.used = path, None, {}, 0
+        self.added = [token["content"] for token in spec["added_tokens"]]
+        ranks = {bytes(map(letters.__getitem__, word)): i for word, i in spec["model"]["vocab"].items() if word not in self.added}  # ids are in merge order
+        self.quick = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+
+    def whole(self, text: str) -> bytes:
+        if self.tokenizer is None:
+            from tokenizers import Tokenizer
+
+            self.tokenizer = Tokenizer.from_file(self.path)
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def chunk(self, chunk: str) -> bytes:
+        ids = self.quick(chunk)
+        data = struct.pack(f"<{len(ids)}I", *ids)
+        if len(chunk) <= CACHE_CHARS and self.used < CACHE_BYTES:
+            self.known[chunk] = data
+            self.used += 200 + 2 * len(chunk) + len(data)
+        return data
+
+    def bytes_of(self, text: str) -> bytes:
+        if any(token in text for token in self.added):
+            return self.whole(text)
+        get, chunk = self.known.get, self.chunk
+        return b"".join([get(c) or chunk(c) for c in _chunks(text)])
+
+
+_ENCODERS: dict[str, Encoder] = {}
 
 
 #: A space between two characters that aren't blank, and the blanks besides space and line feed.
@@ -92,23 +119,9 @@ def _chunks(text: str) -> list[str]:
 
 def token_bytes(texts: list[str], path: str) -> list[bytes]:
     """Ids of each text as little-endian unsigned 32-bit, without special tokens added."""
-    tokenizer, quick, cache = _worker(path)
-    known = cache.get
-    cut = [None if SPECIAL in text else _chunks(text) for text in texts]
-    new = {c for chunks in cut if chunks for c in chunks if c not in cache}
-    extra: dict[str, bytes] = {}
-    for c in new:
-        ids = quick(c)
-        (cache if len(cache) < CACHE and len(c) <= CACHE_CHARS else extra)[c] = struct.pack(f"<{len(ids)}I", *ids)
-    out = []
-    for text, chunks in zip(texts, cut):
-        if chunks is None:  # a special string stands for its own id: the library decides
-            out.append(np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes())
-        elif extra:
-            out.append(b"".join([known(c) or extra[c] for c in chunks]))
-        else:
-            out.append(b"".join(map(cache.__getitem__, chunks)))
-    return out
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return list(map(_ENCODERS[path].bytes_of, texts))
 
 
 def _pieces(path: str, capacity: int):
