@@ -73,21 +73,25 @@ def mix_sources(docs: DataFrame, **options) -> DataFrame:
 
     A document at the end of a source's budget is cut after the words that are
     still within it; words keep the blanks before them. Rows that are equal in
-    every column are interchangeable and are matched to the mix together.
+    every column are interchangeable and are matched to the mix together. Columns
+    may have any names; ``n_chars``, where there is one, follows a cut.
     """
-    same = F.xxhash64(*(F.to_json(F.struct(c)) if "map" in kind else F.col(f"`{c}`") for c, kind in docs.dtypes))
-    marked = docs.withColumn("_same", same)
-    taken = mix(marked, "_same", **options)
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    plain = [F.to_json(F.struct(c)) if "map" in kind else c for c, (_, kind) in zip(columns, docs.dtypes)]
+    same = ["one", "two"]  # 128 bits of all columns
+    rows = docs.select(F.xxhash64(F.lit(1), *plain).alias("one"), F.xxhash64(F.lit(2), *plain).alias("two"), "doc_id", "source", "text", F.struct(*columns).alias("row"))
+    taken = mix(rows.select(*same, "doc_id", "source", "text"), *same, **options)
     has = F.col("size") > 0
     copies = F.when(has, F.floor(F.col("taken") / F.col("size"))).otherwise(0)
     part = F.when(has & (F.col("taken") % F.col("size") > 0), F.col("taken") % F.col("size"))
-    cuts = taken.filter("taken > 0").groupBy(F.col("doc_id").alias("_doc"), "_same").agg(F.sum(copies).alias("_copies"), F.collect_list(part).alias("_parts"))
-    once = marked.dropDuplicates(["doc_id", "_same"])
-    joined = once.join(cuts, once["doc_id"].eqNullSafe(cuts["_doc"]) & (once["_same"] == cuts["_same"])).drop("_same", "_doc")
-    each = joined.withColumn("_cut", F.explode(F.concat(F.array_repeat(F.lit(0).cast("long"), F.col("_copies").cast("int")), "_parts")))
-    ends = F.split("text", r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])")
-    text = F.when(F.col("_cut") > 0, F.array_join(F.slice(ends, 1, F.col("_cut").cast("int")), "")).otherwise(F.col("text"))
-    each = each.withColumn("text", text)
+    cuts = taken.filter("taken > 0").groupBy(*same).agg(F.sum(copies).alias("copies"), F.collect_list(part).alias("parts"))
+    # equal rows are merged where they are read; the shuffle of that serves the join too
+    once = rows.groupBy(*same).agg(F.first("row").alias("row")).join(cuts.hint("merge"), same)
+    each = once.select("row", F.explode(F.concat(F.array_repeat(F.lit(0).cast("long"), F.col("copies").cast("int")), "parts")).alias("cut"))
+    ends = F.split("row.text", r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])")
+    text = F.when(F.col("cut") > 0, F.array_join(F.slice(ends, 1, F.col("cut").cast("int")), "")).otherwise(F.col("row.text"))
+    out = {c: F.col(f"row.`{c}`") for c in docs.columns}
     if "n_chars" in docs.columns:
-        each = each.withColumn("n_chars", F.when(F.col("_cut") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return each.select(*(f"`{c}`" for c in docs.columns))
+        out["n_chars"] = F.when(F.col("cut") > 0, F.length("text")).otherwise(out["n_chars"]).cast(docs.schema["n_chars"].dataType)
+    out["text"] = F.col("text")
+    return each.withColumn("text", text).select(*(v.alias(c) for c, v in out.items()))
