@@ -3,11 +3,13 @@
 The fixed patterns give the base spans of every text. Their matches are also
 the labelled credentials: a bounded sample of them, by kind, becomes a
 prefix tree whose statistically compatible states are merged (Hoeffding test),
-which gives one probabilistic automaton per kind; a sample of the remaining
-candidates gives one more, the background. Every other candidate, that is every
-maximal run of credential characters of some length, is then scored: it becomes
-a span of kind ``learned`` if its likelihood per character is no worse than that
-of the labelled ones and far above the background's.
+which gives one probabilistic automaton per kind. What text looks like otherwise
+is a chain over character classes, counted over all candidates of the corpus.
+A candidate is every maximal run of credential characters that is as long as the
+shortest credential, and what is left of such a run beside a base span. All of
+them are scored: one becomes a span of kind ``learned`` if its likelihood is that
+of held-out labelled strings, within what its length allows, and far above the
+chain's.
 """
 
 from __future__ import annotations
@@ -15,7 +17,10 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
+from statistics import median
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -30,14 +35,18 @@ HEX = r"[0-9a-f]{32,}"
 KINDS = ("assign", "access", "hex", "learned")
 ASSIGN_CHARS = 8
 
-#: Candidates are maximal runs of these characters, at least so long.
-CANDIDATE = r"(?<![A-Za-z0-9+/_.=-])[A-Za-z0-9+/_.=-]{16,}"
-#: Labelled credentials (and background candidates) that fit one automaton, at most; longer ones than FIT_CHARS aren't used for fitting.
+#: Candidates are maximal runs of these characters, without dots and hyphens at the ends and with padding at the end only.
+CANDIDATE = r"(?<![A-Za-z0-9+/_])[A-Za-z0-9+/_][A-Za-z0-9+/_.-]{%d,}[A-Za-z0-9+/_]={0,2}" % (ASSIGN_CHARS - 2)
+#: Distinct labelled credentials that fit one automaton, at most; of longer ones the first FIT_CHARS characters are learned, without an end.
 SAMPLE = 400
 FIT_CHARS = 128
-#: Confidence of the merge test, and how many natural log units a candidate must lie above the background.
+#: Confidence of the merge test; how many natural log units a candidate must lie above the background;
+#: and how many standard deviations its likelihood may lie below that of held-out credentials.
 ALPHA = 0.05
 MARGIN = 10.0
+DEVIATIONS = 3.0
+#: Distinct strings that a task holds or remembers.
+HELD = 100_000
 
 _assign, _access, _hex, _candidate = (re.compile(p, re.ASCII) for p in (ASSIGN, ACCESS, HEX, CANDIDATE))
 
@@ -51,6 +60,18 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
+def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, str]]:
+    """(start, string) of all candidates; what base spans leave of a run counts if it is long enough."""
+    if not base:
+        return [(m.start(), m[0]) for m in _candidate.finditer(text)]
+    found, at = [], 0
+    for start, end in [*((s, e) for s, _, e in base), (len(text), len(text))]:
+        if start > at:
+            found += [(at + m.start(), m[0]) for m in _candidate.finditer(text[at:start])]
+        at = max(at, end)
+    return found
+
+
 def joined(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[kind]}:{start}:{end}" for start, kind, end in sorted(spans))
 
@@ -72,12 +93,12 @@ class Automaton:
         self.ends = [0]
         self.seen = [0]
         for sample in samples:
-            self._add(sample.translate(_TO_CLASS))
+            self._add(sample[:FIT_CHARS].translate(_TO_CLASS), len(sample) <= FIT_CHARS)
         self._alpha = math.sqrt(0.5 * math.log(2 / alpha))
         self._merge_states()
         self._score()
 
-    def _add(self, word: str) -> None:
+    def _add(self, word: str, whole: bool) -> None:
         state = 0
         self.seen[0] += 1
         for c in word:
@@ -90,7 +111,7 @@ class Automaton:
             self.count[state][c] = self.count[state].get(c, 0) + 1
             state = self.next[state][c]
             self.seen[state] += 1
-        self.ends[state] += 1
+        self.ends[state] += whole
 
     def _differ(self, f1: int, n1: int, f2: int, n2: int) -> bool:
         return bool(n1 and n2) and abs(f1 / n1 - f2 / n2) > self._alpha * (1 / math.sqrt(n1) + 1 / math.sqrt(n2))
@@ -167,76 +188,107 @@ class Automaton:
         return total + self.stop[state]
 
 
+def steps(word: str) -> Iterator[str]:
+    """The class pairs of a string, with its start and its end."""
+    classes = f"^{word.translate(_TO_CLASS)}$"
+    return map("".join, zip(classes, classes[1:]))
+
+
+class Chain:
+    """A chain over character classes, from counts of their pairs; unseen pairs count half."""
+
+    def __init__(self, pairs: dict[str, int]):
+        totals: Counter = Counter()
+        for pair, n in pairs.items():
+            totals[pair[0]] += n
+        kinds = len(_CLASSES) + 7
+        self.log = {pair: math.log((n + 0.5) / (totals[pair[0]] + 0.5 * kinds) / _SIZE.get(pair[1], 1)) for pair, n in pairs.items()}
+        self.unseen = {c: math.log(0.5 / (totals[c] + 0.5 * kinds)) for c in [*totals, *_CLASSES, *"+/_.=-^"]}
+
+    def likelihood(self, word: str) -> float:
+        get, unseen = self.log.get, self.unseen
+        return sum(get(pair) or unseen[pair[0]] - math.log(_SIZE.get(pair[1], 1)) for pair in steps(word))
+
+
 class Model:
-    """Automata by kind with the least likelihood per character of their labelled strings, and the background."""
+    """Automata by kind, each with the median and the deviation of the likelihood of a held-out character, and the background chain."""
 
-    def __init__(self, labelled: dict[str, list[str]], background: list[str]):
-        self.background = Automaton(background)
+    def __init__(self, labelled: dict[str, list[str]], background: dict[str, int]):
+        self.background = Chain(background)
         self.kinds = []
         for kind in sorted(labelled):
-            if labelled[kind]:
-                automaton = Automaton(labelled[kind])
-                self.kinds.append((automaton, min(automaton.likelihood(x) / (len(x) + 1) for x in labelled[kind])))
+            if known := labelled[kind]:
+                learned, held_out = (known[::2], known[1::2]) if len(known) >= 20 else (known, known)
+                automaton = Automaton(learned)
+                scores = [(automaton.likelihood(x), len(x) + 1) for x in held_out]
+                middle = median(s / n for s, n in scores)  # a few odd labels don't open the gate
+                spread = 1.4826 * median(abs(s - middle * n) / math.sqrt(n) for s, n in scores)
+                self.kinds.append((automaton, middle, max(spread, 0.05)))
 
     def accepts(self, word: str) -> bool:
+        """Likelier than the background by a margin, and as likely as a credential of this length may be."""
         if not self.kinds:
             return False
-        low = self.background.likelihood(word) + MARGIN
-        for automaton, least in self.kinds:
-            score = automaton.likelihood(word)
-            if score > low and score / (len(word) + 1) >= least:
+        low, n = self.background.likelihood(word) + MARGIN, len(word) + 1
+        for automaton, middle, spread in self.kinds:
+            if automaton.likelihood(word) >= max(low, middle * n - DEVIATIONS * spread * math.sqrt(n)):
                 return True
         return False
 
+    def scorer(self):
+        """``accepts`` that remembers a bounded number of short strings."""
+        short = lru_cache(HELD)(self.accepts)
+        return lambda word: short(word) if len(word) <= 64 else self.accepts(word)
+
 
 # -- operator ---------------------------------------------------------------
 
 
-def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Labelled credentials by kind, and class pairs of all candidates, with their counts."""
+    held: Counter = Counter()
+
+    def flush() -> pa.RecordBatch:
+        return pa.RecordBatch.from_pydict({"kind": pa.array([k for k, _ in held], pa.string()), "value": pa.array([v for _, v in held], pa.string()), "n": pa.array(list(held.values()), pa.int64())})
+
     for batch in batches:
-        spans, labelled, starts, candidates = [], [], [], []
+        words: Counter = Counter()
         for text in batch.column("text").to_pylist():
             base = base_spans(text)
-            spans.append([{"start": s, "kind": k, "end": e} for s, k, e in base])
-            labelled.append([{"kind": KINDS[k], "value": m} for s, k, e in base for m in [_assign.match(text, s)[1] if k == 0 else text[s:e]]])
-            rest = [(m.start(), m[0]) for m in _candidate.finditer(text)]
-            rest = [(a, x) for a, x in rest if not any(s < a + len(x) and a < e for s, _, e in base)]
-            starts.append([a for a, _ in rest])
-            candidates.append([x for _, x in rest])
-        yield pa.RecordBatch.from_pydict({
-            "row_id": batch.column("row_id"), "doc_id": batch.column("doc_id"),
-            "base": pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())]))),
-            "labelled": pa.array(labelled, pa.list_(pa.struct([("kind", pa.string()), ("value", pa.string())]))),
-            "starts": pa.array(starts, pa.list_(pa.int32())), "candidates": pa.array(candidates, pa.list_(pa.string())),
-        })
-
-
-_FOUND = "row_id long, doc_id long, base array<struct<start:int,kind:int,end:int>>, labelled array<struct<kind:string,value:string>>, starts array<int>, candidates array<string>"
-
-
-def _sample(values: DataFrame) -> list[str]:
-    """A bounded sample by hash order, the same on every run."""
-    rows = values.filter(F.length("value") <= FIT_CHARS).distinct().orderBy(F.xxhash64("value"), "value").limit(SAMPLE).collect()
-    return [r.value for r in rows]
-
-
-def fit(found: DataFrame) -> Model:
-    labelled = found.select(F.inline("labelled"))
-    samples = {kind: _sample(labelled.filter(F.col("kind") == kind).select("value")) for kind in KINDS[:3]}
-    return Model(samples, _sample(found.select(F.explode("candidates").alias("value"))))
+            for start, kind, end in base:
+                held[KINDS[kind], _assign.match(text, start)[1] if kind == 0 else text[start:end]] += 1
+            words.update(word for _, word in candidates(text, base))
+        for word, n in words.items():
+            for pair in steps(word):
+                held["pair", pair] += n
+        if len(held) > HELD:
+            yield flush()
+            held.clear()
+    yield flush()
+
+
+def fit(texts: DataFrame) -> Model:
+    """The model of all texts. Credentials are sampled by hash order, the same on every run; class pairs are counted in full."""
+    gathered = texts.select("text").mapInArrow(_gather, "kind string, value string, n long").groupBy("kind", "value").agg(F.sum("n").alias("n"))
+    counts = materialize(gathered, "credentials")
+    samples = {}
+    for kind in KINDS[:3]:
+        rows = counts.filter(F.col("kind") == kind).orderBy(F.xxhash64("value"), "value").limit(SAMPLE).collect()
+        samples[kind] = [r.value for r in rows]
+    pairs = counts.filter("kind = 'pair'").collect()  # at most as many as there are pairs of classes
+    return Model(samples, {r.value: r.n for r in pairs})
 
 
 def _spans(model):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        accepts = model.value.accepts
+        accepts = model.value.scorer()
         for batch in batches:
             out = []
-            for base, starts, candidates in zip(batch.column("base").to_pylist(), batch.column("starts").to_pylist(), batch.column("candidates").to_pylist()):
-                spans = [(x["start"], x["kind"], x["end"]) for x in base]
-                spans += [(a, 3, a + len(x)) for a, x in zip(starts, candidates) if accepts(x)]
-                out.append((spans[: len(base)], sorted(spans)))
+            for text in batch.column("text").to_pylist():
+                base = base_spans(text)
+                out.append((base, sorted(base + [(a, 3, a + len(x)) for a, x in candidates(text, base) if accepts(x)])))
             yield pa.RecordBatch.from_pydict({
-                "row_id": batch.column("row_id"), "doc_id": batch.column("doc_id"),
+                "doc_id": batch.column("doc_id"),
                 **{f"n_{KINDS[k]}": pa.array([sum(x[1] == k for x in s) for _, s in out], pa.int64()) for k in range(4)},
                 "base_sha256": pa.array([hashlib.sha256(joined(b).encode()).hexdigest() for b, _ in out], pa.string()),
                 "spans": pa.array([joined(s) for _, s in out], pa.string()),
@@ -254,25 +306,22 @@ def secret_scan(docs: DataFrame) -> DataFrame:
     nothing is learned and only base spans are returned. An empty table gives an
     empty result.
     """
-    spark = docs.sparkSession
-    rows = docs.select(F.monotonically_increasing_id().alias("row_id"), F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    found = materialize(rows.mapInArrow(_scan, _FOUND), "candidates")
-    model = spark.sparkContext.broadcast(fit(found))
-    scored = found.select("row_id", "doc_id", "base", "starts", "candidates").mapInArrow(_spans(model), "row_id long, doc_id long, n_assign long, n_access long, n_hex long, n_learned long, base_sha256 string, spans string")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
+    model = docs.sparkSession.sparkContext.broadcast(fit(rows))
+    scored = rows.mapInArrow(_spans(model), "doc_id long, n_assign long, n_access long, n_hex long, n_learned long, base_sha256 string, spans string")
     return scored.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_learned")
 
 
 def _redact(model):
     def redact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        accepts = model.value.scorer()
         for batch in batches:
             out = []
             for text in batch.column("text").to_pylist():
                 if text:
                     base = base_spans(text)
                     cuts = [(s, e, k) for s, k, e in base]
-                    for m in _candidate.finditer(text):
-                        if not any(s < m.end() and m.start() < e for s, _, e in base) and model.value.accepts(m[0]):
-                            cuts.append((m.start(), m.end(), 3))
+                    cuts += [(a, a + len(x), 3) for a, x in candidates(text, base) if accepts(x)]
                     parts, at = [], 0
                     for s, e, k in sorted(cuts, key=lambda x: (x[0], -x[1])):
                         if s >= at:
@@ -288,9 +337,7 @@ def _redact(model):
 
 def redact_secrets(docs: DataFrame) -> DataFrame:
     """The input rows with each secret replaced by its kind in brackets; n_chars follows. Null texts stay null."""
-    spark = docs.sparkSession
-    rows = docs.select(F.monotonically_increasing_id().alias("row_id"), F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    model = spark.sparkContext.broadcast(fit(materialize(rows.mapInArrow(_scan, _FOUND).select("labelled", "candidates"), "candidates")))
+    model = docs.sparkSession.sparkContext.broadcast(fit(docs.select(text_or_empty().alias("text"))))
     out = docs.mapInArrow(_redact(model), docs.schema)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.coalesce(F.length("text").cast(docs.schema["n_chars"].dataType), "n_chars"))
