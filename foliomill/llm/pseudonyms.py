@@ -7,6 +7,9 @@ format. The permutation depends on the key and the format only, so equal values
 stay equal in all documents, and who holds the key can invert it. A value that
 the permutation leads out of the valid set is permuted again until it is back
 (cycle walking), which keeps the mapping one to one.
+
+Left in clear are numbers that fail their check, plain runs of ten digits without
+any separator, and dates with month names other than English ones.
 """
 
 from __future__ import annotations
@@ -24,15 +27,18 @@ ROUNDS = 8
 KINDS = ("card", "iban", "ssn", "phone", "ip", "date", "email")
 FIRST_DAY, DAYS = datetime.date(1900, 1, 1).toordinal(), datetime.date(2100, 1, 1).toordinal() - datetime.date(1900, 1, 1).toordinal()
 
-# The shapes that are looked for, in the order in which they are tried.
+# Names of months, and the shapes that are looked for, in the order in which they are tried.
+MONTHS = ("January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December")
+_MONTH = "|".join(f"{name}|{name[:3]}" for name in MONTHS)
 SHAPES = (
-    r"(?P<iban>[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}(?![A-Za-z0-9]))",
-    r"(?P<iso>[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9]))",
+    r"(?P<iban>[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)(?![A-Za-z0-9]))",
+    r"(?P<iso>[0-9]{4}(?P<cut>[-/.])[0-9]{2}(?P=cut)[0-9]{2}(?![0-9]))",
+    rf"(?P<named>(?:[0-9]{{1,2}} (?:{_MONTH})|(?:{_MONTH}) [0-9]{{1,2}},) [0-9]{{4}}(?![0-9]))",
     r"(?P<dmy>[0-9]{1,2}(?P<sign>[/.])[0-9]{1,2}(?P=sign)[0-9]{4}(?![0-9]))",
     r"(?P<ip>[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9]))",
     r"(?P<ssn>[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9]))",
     r"(?P<card>(?:[0-9]{13,19}|[0-9]{4}(?P<gap>[ -])[0-9]{4}(?P=gap)[0-9]{4}(?P=gap)[0-9]{1,7}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})(?![0-9]))",
-    r"(?P<phone>(?:\+[0-9]{1,3}[ .-]?)?\(?[0-9]{3}\)?[ .-]?[0-9]{3}[ .-][0-9]{4}(?![0-9]))",
+    r"(?P<phone>(?:\+[0-9]{1,3}(?:[ .-]?\(?[0-9]{2,4}\)?){2,4}|\(?[0-9]{3}\)?[ .-]?[0-9]{3}[ .-][0-9]{4})(?![0-9]))",
 )
 _NUMBERS = re.compile(r"(?<![0-9A-Za-z])(?=[0-9A-Z+(])(?:" + "|".join(SHAPES) + ")")
 _MAIL = re.compile(r"(?<![A-Za-z0-9._%+-])([A-Za-z0-9._%+-]++)(@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+)")
@@ -93,18 +99,22 @@ class Pseudonyms:
     def _permute(self, x, bound, tweak, valid=lambda x: True):
         return self.feistel.permute(x, bound, tweak, valid, self.back)
 
-    def _mixed(self, chars: str, tweak: str) -> str:
+    def _mixed(self, chars: str, tweak: str, valid: Callable[[str], bool] = lambda chars: True) -> str:
         """Permute a string in which each character keeps its class: digit, upper or lower case."""
         radix = [(48, 10) if c.isdigit() else (65, 26) if c.isupper() else (97, 26) for c in chars]
+
+        def spelt(x: int) -> str:
+            out = []
+            for base, size in reversed(radix):
+                x, r = divmod(x, size)
+                out.append(chr(base + r))
+            return "".join(reversed(out))
+
         x, bound = 0, 1
         for c, (base, size) in zip(chars, radix):
             x, bound = x * size + ord(c) - base, bound * size
-        x = self._permute(x, bound, tweak + "".join("dUl"[(base > 48) + (base > 65)] for base, _ in radix))
-        out = []
-        for base, size in reversed(radix):
-            x, r = divmod(x, size)
-            out.append(chr(base + r))
-        return "".join(reversed(out))
+        kinds = "".join("dUl"[(base > 48) + (base > 65)] for base, _ in radix)
+        return spelt(self._permute(x, bound, tweak + kinds, lambda y: valid(spelt(y))))
 
     def card(self, m: str) -> str | None:
         digits = re.sub("[ -]", "", m)
@@ -114,10 +124,20 @@ class Pseudonyms:
         return _refill(m, body + str(_luhn(body)))
 
     def iban(self, m: str) -> str | None:
-        if _mod97(m) != 1:
+        """Groups after the number may be words: the longest whole number of groups that is valid counts."""
+        groups = m.split(" ")
+        for n in range(len(groups), 0, -1):
+            number, rest = "".join(groups[:n]), " ".join(groups[n:])
+            if len(number) >= 15 and _mod97(number) == 1:
+                break
+        else:
             return None
-        body = self._mixed(m[4:], "iban" + m[:2])
-        return f"{m[:2]}{98 - _mod97(m[:2] + '00' + body):02d}{body}"
+        longer = ["".join(groups[n:k]) for k in range(n + 1, len(groups) + 1)]
+        # a pseudonym must not become valid together with the groups that follow it
+        alone = lambda new: not any(_mod97(new + more) == 1 for more in longer)
+        with_check = lambda body: f"{number[:2]}{98 - _mod97(number[:2] + '00' + body):02d}{body}"
+        new = with_check(self._mixed(number[4:], "iban" + number[:2], lambda body: alone(with_check(body))))
+        return _refill(" ".join(groups[:n]), new) + (" " + rest if rest else "")
 
     def ssn(self, m: str) -> str | None:
         valid = lambda x: x // 10**6 not in (0, 666) and x // 10**6 < 900 and x // 10**4 % 100 > 0 and x % 10**4 > 0
@@ -128,7 +148,7 @@ class Pseudonyms:
         prefix = re.match(r"\+[0-9]{1,3}(?=[ .(-])[ .-]?", m)
         kept = prefix[0] if prefix else ""
         digits = re.sub("[^0-9]", "", m[len(kept) :])
-        if not 10 <= len(digits) <= 15:
+        if not 7 <= len(re.sub("[^0-9]", "", m)) <= 15:
             return None
         return kept + _refill(m[len(kept) :], f"{self._permute(int(digits), 10 ** len(digits), 'phone'):0{len(digits)}d}")
 
@@ -144,10 +164,26 @@ class Pseudonyms:
 
     def iso(self, m: str) -> str | None:
         try:
-            day = datetime.date.fromisoformat(m).toordinal()
+            day = datetime.date.fromisoformat(re.sub("[/.]", "-", m)).toordinal()
         except ValueError:
             return None
-        return self._day(day, "iso", lambda d: True).isoformat() if 0 <= day - FIRST_DAY < DAYS else None
+        return self._day(day, "iso", lambda d: True).isoformat().replace("-", m[4]) if 0 <= day - FIRST_DAY < DAYS else None
+
+    def named(self, m: str) -> str | None:
+        name, digits = re.search("[A-Z][a-z]+", m)[0], re.search("[0-9]+", m)[0]
+        month = next(k for k, full in enumerate(MONTHS, 1) if full.startswith(name))
+        try:
+            found = datetime.date(int(m[-4:]), month, int(digits))
+        except ValueError:
+            return None
+        if not 0 <= found.toordinal() - FIRST_DAY < DAYS:
+            return None
+        # days of one digit stay so, and so does the style of the name; May is both
+        written = lambda d: MONTHS[d.month - 1] if len(name) > 3 or name == "May" else MONTHS[d.month - 1][:3]
+        style = "May" if name == "May" else "full" if len(name) > 3 else "short"
+        valid = lambda d: (len(digits) == 2 or d.day < 10) and (style == "May") == (d.month == 5)
+        d = self._day(found.toordinal(), f"named{len(digits)}{style}", valid)
+        return m[:-4].replace(name, written(d)).replace(digits, f"{d.day:0{len(digits)}d}") + str(d.year)
 
     def dmy(self, m: str) -> str | None:
         sign = m[-5]
@@ -187,7 +223,7 @@ class Pseudonyms:
             new = getattr(self, kind)(m[0])
             if new is None:
                 return m[0]
-            found["date" if kind in ("iso", "dmy") else kind] += 1
+            found["date" if kind in ("iso", "dmy", "named") else kind] += 1
             return new
 
         def mail(m: re.Match) -> str:

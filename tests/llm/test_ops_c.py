@@ -11,6 +11,8 @@ PRIVATE = [
     "card 4111111111111111 and 4111-1111-1111-1111, not 4111111111111112", "call +1 (017) 555-7713 or (212) 555-0199.", "at 97.51.17.173, not 300.1.1.1 or 4.0.",
     "born 1999-02-28, 31/12/1980, 12.31.1980 and 1/2/2003, never 1999-02-30", "ssn 123-45-6789 not 000-12-3456", "GB82WEST12345698765432 DE89370400440532013000",
     "und.34@mail7.example.com é.A@b.org @x.y", None, "", "x" * 50000, "4111111111111111 97.51.17.173",
+    "DE89 3704 0044 0532 0130 00 and GB82 WEST 1234 5698 7654 32 OVER DE89 3704 0044 0532 0130 01",
+    "+44 20 7946 0958, +49 30 901820 or +4930901820 or (030) 555-1234, not +1 2", "2020/01/31, 12 March 2020, Mar 7, 1999, May 01, 2020 and 31 May 1950, not 30 February 2020",
 ]
 
 
@@ -26,9 +28,20 @@ def test_round_trip(spark):
     assert new != "4111111111111111" and _luhn(new[:-1]) == int(new[-1]) and got[10].text.startswith(new)
     assert got[0].text.split()[3].rstrip(",").replace("-", "") == new
     assert all(_mod97(x) == 1 for x in got[5].text.split())
+    assert (got[11].n_iban, got[12].n_phone, got[13].n_date) == (2, 4, 5)
+    assert "DE89 3704 0044 0532 0130 01" in got[11].text and " OVER " in got[11].text and "+1 2" in got[12].text and "30 February 2020" in got[13].text
     assert pseudonyms(spark.createDataFrame([], SCHEMA), b"k").count() == 0
 
 
+def test_round_trip_of_many():
+    rng = random.Random(6)
+    there, back = Pseudonyms(b"k"), Pseudonyms(b"k", back=True)
+    signs = ["DE89 3704 0044 0532 0130 00", "GB82WEST12345698765432", "ABCD", "12", "7 May 2001", "+49 30 901820", "(212) 555-0199", "4111 1111 1111 1111", " ", " ", "-", "3", "1999.12.31", "1/2/2003", "97.51.17.173", "a@b.org"]
+    for _ in range(3000):
+        text = "".join(rng.choices(signs, k=rng.randint(1, 8)))
+        assert back.text(there.text(text)[0])[0] == text, text
+
+
 def test_permutation():
     f = Feistel(b"key")
     for bound in (1, 2, 10, 97, 1000):
