@@ -15,13 +15,15 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import bounded, materialize
 
 #: (action, rule); a rule is a host and a path.
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
 
-#: Labelled urls that the trees are fitted to, about, chosen by hash.
+#: Distinct labelled urls that the trees are fitted to, about, chosen by hash. Suffix statistics are counted over all labelled ones.
 SAMPLE = 20_000
+#: For fitting, a url's suffix share is that of the labelled urls outside its own fold.
+FOLDS = 4
 TREES = 12
 DEPTH = 3
 BINS = 16
@@ -59,6 +61,10 @@ def _count(text: Column, sign: str) -> Column:
     return F.length(text) - F.length(F.replace(text, F.lit(sign), F.lit("")))
 
 
+def suffix_of() -> Column:
+    return F.element_at(F.split("host", r"\."), -1)
+
+
 def features(urls: DataFrame) -> DataFrame:
     """Add lexical features and ``suffix`` to rows with url, host and path."""
     url = F.coalesce(F.col("url"), F.lit(""))
@@ -72,7 +78,7 @@ def features(urls: DataFrame) -> DataFrame:
         "digit_ratio": F.length(F.regexp_replace(url, "[^0-9]+", "")) / n, "entropy": F.log2(n) - spread / n,
         "params": F.when(query == "", 0).otherwise(_count(query, "&") + 1), "hyphens": _count(F.col("host"), "-"),
     }
-    return held.select(*urls.columns, *(v.cast("double").alias(k) for k, v in made.items()), F.element_at(F.split("host", r"\."), -1).alias("suffix"))
+    return held.select(*urls.columns, *(v.cast("double").alias(k) for k, v in made.items()), suffix_of().alias("suffix"))
 
 
 @dataclass
@@ -88,8 +94,7 @@ class Model:
         found = features(urls)
         if self.suffixes is None:
             return found.withColumns({"suffix_share": F.lit(self.default_share), "suffix_count": F.lit(0.0)})
-        # at most a row for each sampled url
-        found = found.join(F.broadcast(self.suffixes), "suffix", "left")
+        found = found.join(self.suffixes, "suffix", "left")
         return found.withColumns({"suffix_share": F.coalesce("suffix_share", F.lit(self.default_share)), "suffix_count": F.coalesce("suffix_count", F.lit(0.0))})
 
     def score(self) -> Column:
@@ -157,25 +162,25 @@ def _grow(sample: DataFrame, model: Model, limits: dict[str, list[float]]) -> No
 
 def fit(labelled: DataFrame, *, sample: int = SAMPLE, trees: int = TREES) -> Model:
     """Trees from (url, bad) with bad 0 or 1; null labels are left out. Without both labels the model is constant."""
-    known = labelled.filter("bad is not null").select("url", F.col("bad").cast("int").alias("bad"))
-    n = known.count()
-    if not n:
-        return Model(base=-20.0)
-    share = min(1.0, sample / n)
     host, path = parts(F.col("url"))
-    chosen = known.filter(F.pmod(F.xxhash64("url"), F.lit(1 << 20)) < math.ceil(share * (1 << 20)))
-    chosen = materialize(features(chosen.select("url", "bad", host.alias("host"), path.alias("path"))).drop("url", "host", "path"), "urls")
-    rows, bad = chosen.agg(F.count("*"), F.coalesce(F.sum("bad"), F.lit(0))).first()
-    if not 0 < bad < rows:
-        return Model(base=20.0 if rows and bad else -20.0)
-    mean = bad / rows
-    suffixes = chosen.groupBy("suffix").agg(((F.sum("bad") + PRIOR * mean) / (F.count("*") + PRIOR)).alias("suffix_share"), F.count("*").cast("double").alias("suffix_count"))
-    model = Model(math.log(mean / (1 - mean)), materialize(suffixes, "suffixes"), mean)
-    joined = chosen.join(F.broadcast(model.suffixes), "suffix")
+    known = labelled.filter("bad is not null").groupBy("url").agg(F.count("*").alias("_n"), F.sum(F.col("bad").cast("int")).alias("_b"))
+    known = materialize(known.select("url", host.alias("host"), path.alias("path"), "_n", "_b", F.pmod(F.xxhash64("url", F.lit(1)), F.lit(FOLDS)).alias("_fold")), "urls")
+    distinct, n, bad = known.agg(F.count("*"), F.coalesce(F.sum("_n"), F.lit(0)), F.coalesce(F.sum("_b"), F.lit(0))).first()
+    if not 0 < bad < n:
+        return Model(base=20.0 if bad else -20.0)
+    mean, share = bad / n, min(1.0, sample / distinct)
+    rate = lambda b, n: (b + PRIOR * mean) / (n + PRIOR)
+    folds = materialize(known.groupBy(suffix_of().alias("suffix"), "_fold").agg(F.sum("_n").alias("_fn"), F.sum("_b").alias("_fb")), "folds")
+    totals = folds.groupBy("suffix").agg(F.sum("_fn").alias("_tn"), F.sum("_fb").alias("_tb"))
+    suffixes = totals.select("suffix", rate(F.col("_tb"), F.col("_tn")).alias("suffix_share"), F.col("_tn").cast("double").alias("suffix_count"))
+    model = Model(math.log(mean / (1 - mean)), bounded(materialize(suffixes, "suffixes"), "suffix"), mean)
+    chosen = features(known.filter(F.pmod(F.xxhash64("url"), F.lit(1 << 20)) < math.ceil(share * (1 << 20)))).drop("url", "host", "path")
+    others = folds.join(totals, "suffix").select("suffix", "_fold", rate(F.col("_tb") - F.col("_fb"), F.col("_tn") - F.col("_fn")).alias("suffix_share"), F.col("_tn").cast("double").alias("suffix_count"))
+    joined = materialize(others.join(F.broadcast(chosen), ["suffix", "_fold"]), "sample")
     quantiles = joined.agg(*(F.percentile_approx(f, [k / BINS for k in range(1, BINS)], 1000).alias(f) for f in FEATURES)).first()
     limits = {f: sorted(set(quantiles[f])) for f in FEATURES}
     # equal rows of features become one weighted row
-    binned = materialize(joined.groupBy(*FEATURES).agg(F.count("*").cast("double").alias("_n"), F.avg("bad").alias("_bad")).coalesce(4), "binned")
+    binned = materialize(joined.groupBy(*FEATURES).agg(F.sum("_n").cast("double").alias("_n"), (F.sum("_b") / F.sum("_n")).alias("_bad")).coalesce(4), "binned")
     for _ in range(trees):
         _grow(binned, model, limits)
     return model
