@@ -39,7 +39,7 @@ MOST_RANGES = 10_000
 class Hasher:
     """Vectors of paragraphs; remembers the hashes of short words."""
 
-    def __init__(self, most: int = 500_000):
+    def __init__(self, most: int = 100_000):
         self.words: dict[bytes, int] = {}
         self.most = most
 
