@@ -13,7 +13,7 @@ from .mixing import mix
 from .near_duplicates import near_duplicates
 from .packing import pack
 from .pseudonyms import pseudonyms
-from .quality_rules import quality_rules
+from .quality_rules import policy_ablations, quality_rules
 from .secrets import secret_scan
 from .substrings import repeated_passages
 from .token_counts import token_counts
@@ -65,24 +65,48 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
+def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of each policy does, from the ledger of op9."""
+    return policy_ablations(table(spark, sf_dir, "documents"))
+
+
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_url_filters, op2_secret_scans, op3_pseudonyms, op4_token_counts, op5_mix_sources, op6_repeated_passages, op7_near_duplicates, op8_packing, op9_quality_rules, op10_fingerprints)}
+    return {f.__name__: f for f in (op1_url_filters, op2_secret_scans, op3_pseudonyms, op4_token_counts, op5_mix_sources, op6_repeated_passages, op7_near_duplicates, op8_packing, op9_quality_rules, op10_fingerprints, quality_ablations)}
 
 
-_QUALITY = r"""with d as (select doc_id, coalesce(text, '') t from documents),
+_LEDGER = r"""with d as (select doc_id, coalesce(text, '') t from documents),
 w as (select doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') ws, list_filter(string_split(t, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) ls from d),
 p as (select doc_id, ws, unnest(range(1, len(ws) - 3)) i from w),
 g as (select doc_id, i, count(*) over (partition by doc_id, array_to_string(ws[i:i + 4], ' ')) c from p),
 v as (select doc_id, count(distinct j) n from (select doc_id, unnest(range(i, i + 5)) j from g where c > 1) group by doc_id),
 m as (select w.doc_id, cast(len(ws) as bigint) n_words, cast(length(array_to_string(ws, '')) as bigint) word_chars, cast(len(regexp_extract_all(t, '[#*$%&|<>]')) as bigint) n_symbols,
-  cast(len(ls) - len(list_distinct(ls)) as bigint) n_dup_lines, cast(coalesce(v.n, 0) as bigint) n_repeat_words, cast(len(ls) as bigint) n_lines from w left join v using (doc_id)),
-f as (select *, n_words < 10 f0, 100 * n_repeat_words > 20 * n_words f1, 10 * n_symbols > n_words f2, 2 * n_dup_lines > n_lines f3, word_chars > 12 * n_words or word_chars < 2 * n_words f4 from m)
-select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, f0 or f1 base_failed, not (f0 or f1 or f2 or f3 or f4) kept, n_lines,
-  cast(f0::int + 2 * f1::int + 4 * f2::int + 8 * f3::int + 16 * f4::int as bigint) failure_bits from f"""
+  cast(len(ls) - len(list_distinct(ls)) as bigint) n_dup_lines, cast(coalesce(v.n, 0) as bigint) n_repeat_words, cast(len(ls) as bigint) n_lines,
+  cast(len(list_filter(ls, lambda l: regexp_matches(l, '[.!?:;]["'')\]]*[\x20\x09-\x0D]*\z'))) as bigint) n_ended_lines, cast(coalesce(list_max(list_transform(ls, lambda l: length(l))), 0) as bigint) longest_line,
+  cast(length(array_to_string(ls, '')) as bigint) line_chars, cast(len(regexp_extract_all(t, '\p{L}')) as bigint) n_letters from w left join v using (doc_id)),
+f as (select *, n_words < 10 f0, 100 * n_repeat_words > 20 * n_words f1, 10 * n_symbols > n_words f2, 2 * n_dup_lines > n_lines f3, word_chars > 12 * n_words or word_chars < 2 * n_words f4,
+  10 * n_letters < 6 * word_chars f5, n_lines >= 5 and 10 * n_ended_lines < n_lines f6, n_lines >= 5 and longest_line * n_lines > 20 * line_chars f7 from m)
+"""
+
+_QUALITY = _LEDGER + """select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, f0 or f1 base_failed, not (f0 or f1 or f2 or f3 or f4) kept, n_lines, n_ended_lines, longest_line, line_chars, n_letters,
+  cast(f0::int + 2 * f1::int + 4 * f2::int + 8 * f3::int + 16 * f4::int + 32 * f5::int + 64 * f6::int + 128 * f7::int as bigint) failure_bits,
+  not (f0 or f1) kept_v1, not (f0 or f1 or f2 or f3 or f4) kept_v2, not (f0 or f1 or f2 or f3 or f4 or f5 or f6 or f7) kept_v3 from f"""
+
+_RULE_NAMES = ("few_words", "repeated_words", "symbols", "duplicate_lines", "word_length", "few_letters", "open_lines", "line_spread")
+
+
+def _ablation_sql() -> str:
+    """One select for each policy and rule, spelt over the flags f0, f1 and so on."""
+    selects = []
+    for policy, last in (("v1", 2), ("v2", 5), ("v3", 8)):
+        for k in range(last):
+            rest = " or ".join(f"f{i}" for i in range(last) if i != k)
+            selects.append(f"select '{policy}' as policy, '{_RULE_NAMES[k]}' as rule, count(*) filter (f{k}) fails, count(*) filter (f{k} and not ({rest})) fails_alone, count(*) filter ({rest}) rejected_without from f having count(*) > 0")
+    return _LEDGER + " union all ".join(selects)
+
 
 _MIX = r"""with d as (select doc_id, source, cast(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as bigint) size, md5('mix:' || coalesce(cast(doc_id as varchar), '')) k from documents),
 s as (select source, cast(sum(size) as bigint) source_size from d group by source),
@@ -98,4 +122,4 @@ select doc_id, size, source_size, target, cast(epochs * size + greatest(0, least
 
 def oracle_sql() -> dict[str, str]:
     """Twins of the queries that SQL can express; models, tokens and similarity are tested by brute force."""
-    return {"op5_mix_sources": _MIX, "op9_quality_rules": _QUALITY}
+    return {"op5_mix_sources": _MIX, "op9_quality_rules": _QUALITY, "quality_ablations": _ablation_sql()}

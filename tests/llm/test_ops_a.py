@@ -8,8 +8,8 @@ import pytest
 import sentencepiece
 import public_tokenizers
 from foliomill.llm.mixing import mix, mix_sources
-from foliomill.llm.quality_rules import ablations, keep_good, ledger, quality_rules
-from foliomill.llm.secrets import Automaton, Model, redact_secrets, secret_scan
+from foliomill.llm.quality_rules import POLICIES, RULES, ablations, keep_good, ledger, policy_ablations, quality_rules
+from foliomill.llm.secrets import Automaton, Model, redact_secrets, secret_scan, steps
 from foliomill.llm.token_counts import pretokens, token_counts
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, base string, _words string"
@@ -81,9 +81,10 @@ def test_learned_secrets(spark):
     key = lambda: "AKIA" + "".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", k=16))
     word = lambda: "".join(rng.choices("etaoinshr", k=rng.randint(2, 22)))
     hexed = lambda: "".join(rng.choices("0123456789abcdef", k=40))
-    model = Model({"access": [key() for _ in range(300)], "hex": [hexed() for _ in range(300)]}, [w for w in (word() for _ in range(3000)) if len(w) >= 16][:400])
+    chained = Counter(pair for _ in range(3000) for pair in steps(word()))
+    model = Model({"access": [key() for _ in range(300)], "hex": [hexed() for _ in range(300)]}, chained)
     assert sum(model.accepts(hexed()) for _ in range(200)) > 190
-    assert not any(model.accepts(w) for w in (word() for _ in range(2000)) if len(w) >= 16)
+    assert not any(model.accepts(w) for w in (word() for _ in range(2000)) if len(w) >= 8)
     texts = [f"{' '.join(word() for _ in range(30))} token = {hexed().upper()[:24]}{hexed()[:6]} {word()}" for _ in range(200)]
     texts += [f"a {hexed().upper()[:24]}{hexed()[:6]} b"]
     out = secret_scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
@@ -123,12 +124,16 @@ def test_quality_rules(docs, empty):
     assert keep_good(docs, policy="v1").count() == quality_rules(docs).filter("not base_failed").count()
 
 
-def test_ablations(docs):
+def test_ablations(docs, empty):
     found = ledger(docs, "doc_id")
-    bits = [r.failure_bits for r in found.collect()]
-    for r in ablations(found).collect():
-        bit = 1 << [n for n, _ in __import__("foliomill.llm.quality_rules", fromlist=["RULES"]).RULES].index(r.rule)
-        assert (r.fails, r.fails_alone, r.rejected_without) == (sum(bool(b & bit) for b in bits), sum(b == bit for b in bits), sum(bool(b & ~bit) for b in bits))
+    bits, names = [r.failure_bits for r in found.collect()], [n for n, _ in RULES]
+    got = ablations(found).collect()
+    assert Counter((r.policy, r.rule) for r in got) == Counter((p, n) for p, rules in POLICIES.items() for n in rules)
+    for r in got:
+        bit, full = 1 << names.index(r.rule), sum(1 << names.index(n) for n in POLICIES[r.policy])
+        assert (r.fails, r.fails_alone, r.rejected_without) == (sum(bool(b & bit) for b in bits), sum(b & full == bit for b in bits), sum(bool(b & full & ~bit) for b in bits))
+    assert policy_ablations(empty).count() == 0
+    assert quality_rules(docs).filter("kept_v3 and not kept_v2 or kept_v2 and not kept_v1 or kept <> kept_v2").count() == 0
 
 
 def brute_targets(sizes):
@@ -167,4 +172,8 @@ def test_mix(docs, empty, spark):
         assert mixed.columns == df.columns
         assert sum(len(words(r.text)) for r in mixed.collect()) == taken
     assert source
+    clash = ("_same", "_cut", "_copies", "_parts", "one", "two", "row", "cut")
+    named = many.limit(100).selectExpr("*", *(f"doc_id + {k} as {c}" for k, c in enumerate(clash)), "map(doc_id, 1) as taken")
+    for r in mix_sources(named).collect():
+        assert [r[c] for c in clash] == [r.doc_id + k for k in range(len(clash))] and r.taken == {r.doc_id: 1}
     assert mix(empty).count() == 0 and mix_sources(empty).count() == 0
