@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 MESSAGES = {
     "FileNotFound": "PDF file not found: '{path}'\nCheck the path exists and is readable.",
     "PermissionDenied": "Permission denied reading '{path}'\nTry: chmod +r \"{path}\"",
-    "InvalidInput": "Invalid input '{input}': not a file path or a valid HTTP/HTTPS URL",
     "DownloadFailed": "Failed to download '{url}': {reason}\nCheck your internet connection.",
     "DownloadTimeout": "Download timed out after {secs}s for '{url}'\nIncrease --download-timeout.",
     "NotAPdf": "File is not a valid PDF: '{path}'\nFirst bytes: {magic}",
@@ -19,12 +18,8 @@ MESSAGES = {
     "PageOutOfRange": "Page {page} is out of range (document has {total} pages)",
     "RasterisationFailed": "Rasterisation failed for page {page}: {detail}",
     "ProviderNotConfigured": "LLM provider '{provider}' is not configured.\n{hint}",
-    "LlmApiError": "LLM API error: {message}",
     "AllPagesFailed": "All {total} pages failed after {retries} retries each.\nFirst error: {first_error}",
     "PartialFailure": "{failed}/{total} pages failed during conversion",
-    "RateLimitExceeded": "Rate limit exceeded for provider '{provider}'",
-    "ApiTimeout": "API call timed out after {elapsed_ms}ms on page {page}",
-    "AuthError": "Authentication error from provider '{provider}': {detail}",
     "OutputWriteFailed": "Failed to write output file '{path}': {detail}",
     "InvalidConfig": "Invalid configuration: {detail}",
     "Internal": "Internal error: {detail}",

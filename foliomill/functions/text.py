@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # White space, the same without line feed, invisible characters, image hosts that are never real.
@@ -146,6 +146,18 @@ def clean_markdown(x: Column) -> Column:
     return x
 
 
+def clean_pages(pages: DataFrame) -> DataFrame:
+    """Page results with clean Markdown; rows with an error keep theirs.
+
+    One projection for each rule: what one rule makes is computed once however
+    often the next refers to it, and simple rules stay in generated code.
+    """
+    out = pages.withColumn("_clean", F.col("markdown"))
+    for rule in RULES:
+        out = out.withColumn("_clean", rule(F.col("_clean")))
+    return out.withColumn("markdown", F.when(F.col("error").isNull(), F.col("_clean")).otherwise(F.col("markdown"))).drop("_clean")
+
+
 # -- quality predicates -------------------------------------------------------
 
 

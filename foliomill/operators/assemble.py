@@ -31,7 +31,7 @@ def statistics() -> list[Column]:
     return [
         F.count_if(ok).alias("processed_pages"), F.count_if(~ok).alias("failed_pages"), F.count("*").alias("returned_pages"),
         F.sum("input_tokens").alias("total_input_tokens"), F.sum("output_tokens").alias("total_output_tokens"),
-        F.sum("duration_ms").alias("total_page_ms"),
+        F.sum("render_ms").alias("render_duration_ms"), (F.max("ended_ms") - F.min("started_ms")).alias("llm_duration_ms"),
         F.min_by(page_error_message(F.col("error")), F.when(~ok, F.col("page_num"))).alias("first_error"),
     ]
 
@@ -39,14 +39,17 @@ def statistics() -> list[Column]:
 def convert_documents(pages: DataFrame, documents: DataFrame, kind: PageSeparator, *, max_retries: int = 3, strict: bool = False) -> DataFrame:
     """One row per document: markdown, counters and doc_error.
 
-    ``documents`` has doc_id, page_count, selected_count. A document with no
-    selected page is out of range; one with no successful page failed as a
-    whole; with ``strict`` any failed page is an error.
+    ``documents`` has doc_id, page_count, selected_count, and may have inspect_ms.
+    A document with no selected page is out of range; one with no successful page
+    failed as a whole; with ``strict`` any failed page is an error. Rendering time
+    is summed over pages; llm_duration_ms is the time from the start of the first
+    page to the end of the last, and total_duration_ms that with the opening.
     """
     done = F.array_sort(F.collect_list(F.when(F.col("error").isNull(), F.struct("page_num", "markdown"))))
     made = pages.groupBy("doc_id").agg(joined_pages(done, kind).alias("markdown"), *statistics())
     rows = documents.join(made, "doc_id", "left")
-    zero = ["processed_pages", "failed_pages", "returned_pages", "total_input_tokens", "total_output_tokens"]
+    zero = ["processed_pages", "failed_pages", "returned_pages", "total_input_tokens", "total_output_tokens", "render_duration_ms", "llm_duration_ms"]
+    opened = F.coalesce("inspect_ms", F.lit(0)) if "inspect_ms" in documents.columns else F.lit(0)
     rows = rows.withColumns({c: F.coalesce(c, F.lit(0)).cast("long") for c in zero})
     rows = rows.withColumn("skipped_pages", F.greatest(F.col("selected_count") - F.col("returned_pages"), F.lit(0)).cast("long"))
     error = F.when(F.col("selected_count") == 0, message("PageOutOfRange", page=F.lit(0), total=F.col("page_count"))).when(
@@ -55,9 +58,9 @@ def convert_documents(pages: DataFrame, documents: DataFrame, kind: PageSeparato
     )
     if strict:
         error = error.when(F.col("failed_pages") > 0, message("PartialFailure", failed=F.col("failed_pages"), total=F.col("page_count")))
-    rows = rows.withColumn("doc_error", error)
+    rows = rows.withColumns({"doc_error": error, "total_duration_ms": (opened + F.col("llm_duration_ms")).cast("long")})
     rows = rows.withColumn("markdown", F.when(F.col("doc_error").isNull(), F.col("markdown")))
-    return rows.select("doc_id", "markdown", F.col("page_count").cast("long").alias("total_pages"), "processed_pages", "failed_pages", "skipped_pages", "total_input_tokens", "total_output_tokens", "first_error", "doc_error")
+    return rows.select("doc_id", "markdown", F.col("page_count").cast("long").alias("total_pages"), "processed_pages", "failed_pages", "skipped_pages", "total_input_tokens", "total_output_tokens", "total_duration_ms", "render_duration_ms", "llm_duration_ms", "first_error", "doc_error")
 
 
 def conversion_output(pages: DataFrame, documents: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -11,6 +11,17 @@ from pyspark.sql import functions as F
 from ..config import PageSelection
 
 
+#: A table of fewer bytes for each core is dealt out anew before costly row-local work.
+SMALL = 8 << 20
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """A small table over all cores, whatever its files' splits; a large one, which has splits enough, as it is."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return rows.repartition(cores) if size < SMALL * cores else rows
+
+
 def expand(docs: DataFrame, page_count: str = "page_count") -> DataFrame:
     """A row per page with ``page_num`` from 1; documents without pages give none."""
     numbers = F.when(F.col(page_count) > 0, F.sequence(F.lit(1), F.col(page_count))).otherwise(F.array().cast("array<int>"))
@@ -47,6 +58,25 @@ def selected_count(selection: PageSelection, page_count: Column) -> Column:
     return sum((F.when(n >= p, 1).otherwise(0) for p in sorted(set(selection.pages)) if p >= 1), F.lit(0))
 
 
+def spec_pages(spec: Column, page_count: Column) -> Column:
+    """Page options in a column: struct of ``error`` (null if the option is well formed) and ``pages``, the selected numbers.
+
+    The same grammar as the driver's parser: ``all``, ``5``, ``3-7`` or ``1,3,5``,
+    a hyphen looked for before a comma; a null option selects all pages.
+    """
+    text = F.lower(F.regexp_replace(F.coalesce(spec, F.lit("all")), r"\A\s+|\s+\z", ""))
+    whole = F.when(page_count > 0, F.sequence(F.lit(1), page_count.cast("int"))).otherwise(F.array().cast("array<int>"))
+    number = lambda part: F.when(F.trim(part).rlike(r"\A\+?[0-9]+\z"), F.trim(part).try_cast("int"))
+    first, last = (number(F.regexp_extract(text, r"(?s)\A([^-]*)-(.*)\z", k)) for k in (1, 2))
+    listed = F.transform(F.split(text, ",", -1), number)
+    bad = lambda part: part.isNull() | (part < 1)
+    spans = text.contains("-")
+    wrong = F.when(text == "all", False).when(spans, bad(first) | last.isNull() | (first > last)).otherwise(F.exists(listed, bad))
+    chosen = F.when(text == "all", whole).when(spans, F.filter(whole, lambda n: n.between(first, last))).otherwise(F.filter(whole, lambda n: F.array_contains(listed, n)))
+    error = F.when(wrong, F.when(spans, F.concat(F.lit("invalid page range '"), text, F.lit("'"))).otherwise(F.concat(F.lit("invalid page number '"), text, F.lit("'"))))
+    return F.struct(error.alias("error"), F.when(wrong, F.array().cast("array<int>")).otherwise(chosen).alias("pages"))
+
+
 def skipped(selected: DataFrame, results: DataFrame) -> DataFrame:
     """Selected pages that gave no result."""
     return selected.join(results.select("doc_id", "page_num"), ["doc_id", "page_num"], "left_anti")
@@ -68,17 +98,20 @@ def in_sequence(pages: DataFrame, step: Callable[[dict, str | None], dict], sche
     """The recurrence itself: each page is made from the one before, in order, per document.
 
     ``step(page, prior)`` returns a result row; a row with an error does not
-    become the next page's context. One document is one task's group: its pages
-    depend on each other.
+    become the next page's context. Pages of a document stand together in one
+    task, sorted, and pass one by one; a document is never held whole.
     """
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        prior, out = None, []
-        for page in group.sort_values("page_num").to_dict("records"):
-            row = step(page, prior)
-            out.append(row)
-            if row.get("error") is None:
-                prior = clean(row["markdown"]) if clean else row["markdown"]
-        return pd.DataFrame(out)
-
-    return pages.groupBy("doc_id").applyInPandas(run, schema)
+    names = [field.split()[0] for field in schema.split(", ")]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        doc = prior = None
+        for batch in batches:
+            for page in batch.to_dict("records"):
+                if page["doc_id"] != doc:
+                    doc, prior = page["doc_id"], None
+                row = step(page, prior)
+                if row.get("error") is None:
+                    prior = clean(row["markdown"]) if clean else row["markdown"]
+                yield pd.DataFrame([row], columns=names)
+
+    return pages.repartition("doc_id").sortWithinPartitions("doc_id", "page_num").mapInPandas(run, schema)

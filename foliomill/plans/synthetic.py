@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.pages import lines_to_pages
+from ..operators.pages import lines_to_pages, spread
 
 #: (before, text with replacements, after) by class; class 11 fails.
 FORMS: dict[int, tuple[str, tuple[tuple[str, str], ...], str]] = {
@@ -31,7 +31,7 @@ FAILS_WHOLE = 50
 
 def raw_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw page results of all documents: RAW_PAGE columns and page_count."""
-    pages = lines_to_pages(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    pages = lines_to_pages(spread(spark.read.parquet(f"{sf_dir}/documents.parquet")))
     kind = (F.col("doc_id") * 7 + F.col("page_num")) % CLASSES
     raw = F.lit("")
     for k, (before, swaps, after) in FORMS.items():
@@ -43,4 +43,5 @@ def raw_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     error = F.when(failed, F.struct(F.lit("LlmFailed").alias("kind"), F.col("page_num").cast("int").alias("page"), F.lit(3).alias("retries"), F.lit(None).cast("bigint").alias("secs"), F.lit("mock failure").alias("detail")))
     out = pages.select("doc_id", "page_count", F.col("page_num").cast("int").alias("page_num"), F.when(failed, "").otherwise(raw).alias("markdown"), error.alias("error"))
     tokens = F.ceil(F.octet_length("markdown") / 4).cast("long")
-    return out.select("*", F.when(failed, 0).otherwise(F.lit(1000)).cast("long").alias("input_tokens"), tokens.alias("output_tokens"), (F.col("page_num") * 10).cast("long").alias("duration_ms"), F.when(failed, 3).otherwise(0).alias("retries"))
+    times = [(F.col("page_num") * 3).cast("long").alias("render_ms"), (F.col("page_num") * 100).cast("long").alias("started_ms"), (F.col("page_num") * 110 + 7).cast("long").alias("ended_ms")]
+    return out.select("*", F.when(failed, 0).otherwise(F.lit(1000)).cast("long").alias("input_tokens"), tokens.alias("output_tokens"), (F.col("page_num") * 10).cast("long").alias("duration_ms"), F.when(failed, 3).otherwise(0).alias("retries"), *times)

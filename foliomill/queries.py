@@ -8,15 +8,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .config import PageSelection, PageSeparator
-from .errors import open_error_kind, page_error_message, short
+from .errors import message, open_error_kind, page_error_message, short
 from .functions import scalars as S
 from .functions import text as T
 from .operators import assemble as A
 from .operators import pages as P
+from .operators import quality as Q
 from .plans.synthetic import CLASSES, FAILS_WHOLE, FORMS, raw_pages
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -158,8 +159,7 @@ cleaned as (select r.doc_id, r.page_count, r.page_num, r.failed, case when r.fai
 
 
 def cleaned_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = raw_pages(spark, sf_dir)
-    return raw.withColumn("markdown", F.when(F.col("error").isNull(), T.clean_markdown(F.col("markdown"))).otherwise(F.col("markdown")))
+    return T.clean_pages(raw_pages(spark, sf_dir))
 
 
 @_query(f"with {CLEAN} select {_KEYS}, markdown from cleaned")
@@ -208,7 +208,7 @@ def error_truncation(spark, sf_dir):
 select page_id, not regexp_matches({_STRIP('u')}, '^https?://') or regexp_matches({_STRIP('u')}, '{"|".join(h.replace(".", chr(92) + ".") for h in T.FAKE_HOSTS)}') placeholder from u""")
 def placeholder_urls(spark, sf_dir):
     k = F.col("page_id") % 4
-    url = F.when(k == 0, F.col("url")).when(k == 1, F.concat(F.lit(" "), "url", F.lit(" "))).when(k == 2, F.replace("url", F.lit("example."), F.lit("notfake."))).otherwise(F.substring("url", 5, 10000))
+    url = F.when(k == 0, F.col("url")).when(k == 1, F.concat(F.lit(" "), "url", F.lit(" "))).when(k == 2, F.replace("url", F.lit("example."), F.lit("notfake."))).otherwise(F.expr("substr(url, 5)"))
     return _pages(spark, sf_dir).select("page_id", T.is_placeholder_url(url).alias("placeholder"))
 
 
@@ -327,27 +327,34 @@ def front_matter(spark, sf_dir):
     return meta.select("doc_id", S.front_matter({c: F.col(c) for c in meta.columns}).alias("yaml"))
 
 
-_STATS = f"""{CLEAN}, st as (select doc_id, cast(max(page_count) as bigint) total_pages, count(*) filter (not failed) processed_pages, count(*) filter (failed) failed_pages, cast(0 as bigint) skipped_pages,
-cast(sum(case when failed then 0 else 1000 end) as bigint) total_input_tokens, cast(sum(cast(ceil(raw_bytes / 4.0) as bigint)) as bigint) total_output_tokens,
-min(page_num) filter (failed) bad, count(*) n from cleaned group by doc_id),
+def _stats(returned: str) -> str:
+    """Statistics over the pages that came back; the others were selected and skipped."""
+    return f"""{CLEAN}, st as (select doc_id, cast(max(page_count) as bigint) total_pages, count(*) filter (not failed and {returned}) processed_pages, count(*) filter (failed and {returned}) failed_pages, count(*) filter (not ({returned})) skipped_pages,
+cast(coalesce(sum(case when failed then 0 else 1000 end) filter ({returned}), 0) as bigint) total_input_tokens, cast(coalesce(sum(cast(ceil(raw_bytes / 4.0) as bigint)) filter ({returned}), 0) as bigint) total_output_tokens,
+cast(coalesce(sum(3 * page_num) filter ({returned}), 0) as bigint) render_duration_ms, cast(coalesce(max(110 * page_num + 7) filter ({returned}) - min(100 * page_num) filter ({returned}), 0) as bigint) llm_duration_ms,
+min(page_num) filter (failed and {returned}) bad, count(*) filter ({returned}) n from cleaned group by doc_id),
 er as (select *, 'Page '||bad||': LLM call failed after 3 retries: mock failure' first_error from st)"""
+
+
+_STATS = _stats("true")
 _DOC_ERROR = "case when processed_pages = 0 then 'All '||n||' pages failed after 3 retries each.'||chr(10)||'First error: '||first_error end"
 
 
-def _converted(spark, sf_dir, selection=PageSelection(), strict=False):
-    pages = cleaned_pages(spark, sf_dir)
+def _converted(spark, sf_dir, selection=PageSelection(), strict=False, returned=None):
+    pages = cleaned_pages(spark, sf_dir) if returned is None else cleaned_pages(spark, sf_dir).filter(returned)
     chosen = pages.filter(P.is_selected(selection, F.col("page_num"), F.col("page_count")))
     return A.convert_documents(chosen, _counts(spark, sf_dir, selection), PageSeparator("comment"), strict=strict)
 
 
-@_query(f"""with {_assembled(SEPARATORS['comment'][1]).replace(CLEAN, _STATS)} select doc_id, markdown, total_pages, processed_pages, failed_pages, skipped_pages, total_input_tokens, total_output_tokens, first_error, {_DOC_ERROR} doc_error from er left join assembled using (doc_id)""")
+@_query(f"""with {_assembled(SEPARATORS['comment'][1]).replace(CLEAN, _STATS)} select doc_id, markdown, total_pages, processed_pages, failed_pages, skipped_pages, total_input_tokens, total_output_tokens, llm_duration_ms total_duration_ms, render_duration_ms, llm_duration_ms, first_error, {_DOC_ERROR} doc_error from er left join assembled using (doc_id)""")
 def convert_documents(spark, sf_dir):
     return _converted(spark, sf_dir)
 
 
-@_query(f"with {_STATS} select doc_id, total_pages, processed_pages, failed_pages, skipped_pages, total_input_tokens, total_output_tokens from er")
+@_query(f"with {_stats('(doc_id + page_num) % 5 <> 0')} select doc_id, total_pages, processed_pages, failed_pages, skipped_pages, total_input_tokens, total_output_tokens, llm_duration_ms total_duration_ms, render_duration_ms, llm_duration_ms from er")
 def conversion_stats(spark, sf_dir):
-    return _converted(spark, sf_dir).select("doc_id", "total_pages", "processed_pages", "failed_pages", "skipped_pages", "total_input_tokens", "total_output_tokens")
+    """Statistics where every fifth page was skipped."""
+    return _converted(spark, sf_dir, returned="(doc_id + page_num) % 5 <> 0").drop("markdown", "first_error", "doc_error")
 
 
 @_query(f"with {_STATS} select doc_id, first_error from er where failed_pages > 0")
@@ -370,12 +377,45 @@ def page_results_flat(spark, sf_dir):
     return cleaned_pages(spark, sf_dir).select("doc_id", "page_num", "markdown", "input_tokens", "output_tokens", "duration_ms", "retries", F.col("error.kind").alias("error_kind"))
 
 
-@_query("""select event_id, case event_id % 3 when 0 then 'Page '||(event_id % 9)||': rasterisation failed: '||event_type when 1 then 'Page '||(event_id % 9)||': LLM call failed after 3 retries: '||event_type else 'Page '||(event_id % 9)||': LLM call timed out after '||user_id||'s' end msg from events""")
+#: Values of all message formats, from columns of events; and each message as SQL, spelt out.
+_VALUES = {
+    "path": "event_type", "url": "event_type", "reason": "event_type", "detail": "event_type", "magic": "'[1, 2]'", "hint": "event_type", "provider": "event_type", "first_error": "event_type",
+    "secs": "user_id", "page": "event_id % 9", "total": "user_id", "retries": "3", "failed": "event_id % 9",
+}
+_TEXTS = (
+    ("FileNotFound", "'PDF file not found: '''||t||''''||chr(10)||'Check the path exists and is readable.'"), ("PermissionDenied", "'Permission denied reading '''||t||''''||chr(10)||'Try: chmod +r \"'||t||'\"'"),
+    ("DownloadFailed", "'Failed to download '''||t||''': '||t||chr(10)||'Check your internet connection.'"), ("DownloadTimeout", "'Download timed out after '||u||'s for '''||t||''''||chr(10)||'Increase --download-timeout.'"),
+    ("NotAPdf", "'File is not a valid PDF: '''||t||''''||chr(10)||'First bytes: [1, 2]'"), ("CorruptPdf", "'PDF '''||t||''' is corrupt: '||t||chr(10)||'Try repairing with: qpdf --decrypt input.pdf output.pdf'"),
+    ("PasswordRequired", "'PDF '''||t||''' is encrypted and requires a password.'||chr(10)||'Provide it with --password <PASSWORD>.'"), ("WrongPassword", "'Wrong password for PDF '''||t||''''"),
+    ("PageOutOfRange", "'Page '||p||' is out of range (document has '||u||' pages)'"), ("RasterisationFailed", "'Rasterisation failed for page '||p||': '||t"),
+    ("ProviderNotConfigured", "'LLM provider '''||t||''' is not configured.'||chr(10)||t"), ("AllPagesFailed", "'All '||u||' pages failed after 3 retries each.'||chr(10)||'First error: '||t"),
+    ("PartialFailure", "p||'/'||u||' pages failed during conversion'"), ("OutputWriteFailed", "'Failed to write output file '''||t||''': '||t"), ("InvalidConfig", "'Invalid configuration: '||t"), ("Internal", "'Internal error: '||t"),
+    ("RenderFailed", "'Page '||p||': rasterisation failed: '||t"), ("LlmFailed", "'Page '||p||': LLM call failed after 3 retries: '||t"), ("Timeout", "'Page '||p||': LLM call timed out after '||u||'s'"),
+)
+
+
+@_query(f"select event_id, case event_id % {len(_TEXTS)} {' '.join(f'when {k} then {x}' for k, (_, x) in enumerate(_TEXTS))} end msg from (select event_id, event_type t, user_id u, event_id % 9 p from events)")
 def error_messages(spark, sf_dir):
-    kinds = F.array(*(F.lit(k) for k in ("RenderFailed", "LlmFailed", "Timeout")))
-    error = F.struct(F.get(kinds, (F.col("event_id") % 3).cast("int")).alias("kind"), (F.col("event_id") % 9).cast("int").alias("page"), F.lit(3).alias("retries"), F.col("user_id").cast("bigint").alias("secs"), F.col("event_type").alias("detail"))
-    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", error.alias("error"))
-    return events.select("event_id", page_error_message(F.col("error")).alias("msg"))
+    """Messages of all kinds, in turn; those of pages from their error struct."""
+    at = F.col("event_id") % len(_TEXTS)
+    error = F.struct(F.element_at(F.array(*(F.lit(k) for k, _ in _TEXTS)), (at + 1).cast("int")).alias("kind"), (F.col("event_id") % 9).cast("int").alias("page"), F.lit(3).alias("retries"), F.col("user_id").cast("bigint").alias("secs"), F.col("event_type").alias("detail"))
+    values = {k: F.expr(v) for k, v in _VALUES.items()}
+    text = page_error_message(F.col("error"))
+    for k, (kind, _) in enumerate(_TEXTS[:-3]):
+        text = F.when(at == k, message(kind, **values)).otherwise(text)
+    return spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("error", error).select("event_id", text.alias("msg"))
+
+
+@_query("""with s as (select page_id, case page_id % 12 when 0 then null when 1 then ' ALL ' when 2 then '3' when 3 then '2-4' when 4 then ' 1, 3,5' when 5 then '7-3' when 6 then 'x' when 7 then '0' when 8 then '1,2-4' when 9 then '3 - 99' when 10 then '2,,3' else '9,2,2' end spec, cast(page_id % 6 as int) n from pages)
+select page_id, case page_id % 12 when 5 then 'invalid page range ''7-3''' when 6 then 'invalid page number ''x''' when 7 then 'invalid page number ''0''' when 8 then 'invalid page range ''1,2-4''' when 10 then 'invalid page number ''2,,3''' end error,
+coalesce(array_to_string(list_filter(range(1, n + 1), lambda p: case page_id % 12 when 0 then true when 1 then true when 2 then p = 3 when 3 then p between 2 and 4 when 4 then p in (1, 3, 5) when 9 then p >= 3 when 11 then p in (2, 9) else false end), ','), '') pages from s""")
+def page_specs(spark, sf_dir):
+    """Page options in a column, as each document may have its own."""
+    k = F.col("page_id") % 12
+    specs = [None, " ALL ", "3", "2-4", " 1, 3,5", "7-3", "x", "0", "1,2-4", "3 - 99", "2,,3", "9,2,2"]
+    spec = F.element_at(F.array(*(F.lit(x).cast("string") for x in specs)), (k + 1).cast("int"))
+    found = _pages(spark, sf_dir).select("page_id", P.spec_pages(spec, (F.col("page_id") % 6).cast("int")).alias("s"))
+    return found.select("page_id", F.col("s.error").alias("error"), F.array_join("s.pages", ",").alias("pages"))
 
 
 @_query("select cast(a as int) attempt, cast(case when a >= 1 then 500 * (1 << (a - 1)) else 0 end as bigint) delay_ms from range(0, 11) t(a)")
@@ -390,20 +430,33 @@ def default_model(spark, sf_dir):
     return spark.createDataFrame([(n,) for n in names], "provider string").select("provider", S.default_model(F.col("provider")).alias("model"))
 
 
-@_query("""with c as (select conv_id, turn, last_value(case when role <> 'system' then text end ignore nulls) over (partition by conv_id order by turn rows between unbounded preceding and 1 preceding) prior from conversations)
-select conv_id, turn, cast(case when coalesce(prior, '') = '' then 2 else 3 end as bigint) n_messages from c""")
-def message_count(spark, sf_dir):
+_CONVERSED = """with c as (select conv_id, turn, last_value(case when role <> 'system' then text end ignore nulls) over (partition by conv_id order by turn rows between unbounded preceding and 1 preceding) prior from conversations)"""
+
+
+def _conversed(spark, sf_dir):
     turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
     pages = turns.select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("page_num"), F.col("text").alias("markdown"), F.when(F.col("role") == "system", F.lit("x")).alias("error"))
     found = P.prior_context(pages)
-    return found.select(F.col("doc_id").alias("conv_id"), F.col("page_num").alias("turn"), F.size(S.messages(F.lit("aGk="), F.col("prior"), maintain_format=True)).cast("long").alias("n_messages"))
+    return found.select(F.col("doc_id").alias("conv_id"), F.col("page_num").alias("turn"), S.messages(F.lit("aGk="), F.col("prior"), maintain_format=True).alias("messages"))
+
+
+@_query(_CONVERSED + " select conv_id, turn, cast(case when coalesce(prior, '') = '' then 2 else 3 end as bigint) n_messages from c")
+def message_count(spark, sf_dir):
+    return _conversed(spark, sf_dir).select("conv_id", "turn", F.size("messages").cast("long").alias("n_messages"))
+
+
+@_query(_CONVERSED + f""" select conv_id, turn, 'system: '||{_text(S.SYSTEM_PROMPT)}||case when coalesce(prior, '') = '' then '' else chr(10)||'system: '||{_text(S.CONTINUITY)}||'\"\"\"'||prior||'\"\"\"' end||chr(10)||'user: image/png high aGk=' texts from c""")
+def message_texts(spark, sf_dir):
+    """Every message of a page's request, spelt out."""
+    line = lambda m: F.concat(m.role, F.lit(": "), m.content, F.array_join(F.transform(m.images, lambda i: F.concat_ws(" ", i.mime_type, i.detail, i.data)), " "))
+    return _conversed(spark, sf_dir).select("conv_id", "turn", F.array_join(F.transform("messages", line), "\n").alias("texts"))
 
 
 @_query(f"""with {_STATS}, p(k, provider, model, pin, pout) as (values {', '.join(f"({k}, '{p}', '{m}', {i}, {o})" for k, (p, m, i, o) in enumerate(S.PRICES))}),
 u as (select p.provider, p.model, pin, pout, cast(sum(total_input_tokens) as bigint) i, cast(sum(total_output_tokens) as bigint) o from er join p on er.doc_id % {len(S.PRICES)} = p.k group by all)
 select provider, model, i total_input_tokens, o total_output_tokens, cast(round(i * pin + o * pout) as bigint) cost_micros from u""")
 def cost_estimate(spark, sf_dir):
-    stats = conversion_stats(spark, sf_dir)
+    stats = _converted(spark, sf_dir)
     names = F.array(*(F.struct(F.lit(p).alias("provider"), F.lit(m).alias("model")) for p, m, _, _ in S.PRICES))
     usage = stats.select(F.get(names, (F.col("doc_id") % len(S.PRICES)).cast("int")).alias("n"), "total_input_tokens", "total_output_tokens").select("n.*", "total_input_tokens", "total_output_tokens")
     usage = usage.groupBy("provider", "model").agg(F.sum("total_input_tokens").alias("total_input_tokens"), F.sum("total_output_tokens").alias("total_output_tokens"))
@@ -418,12 +471,37 @@ def markdown_quality(spark, sf_dir):
     return cleaned_pages(spark, sf_dir).select("doc_id", "page_num", *(v.alias(k) for k, v in T.quality_checks(md).items()), T.has_headings(md).alias("has_headings"), T.rule_count(md).cast("long").alias("n_rules"))
 
 
-@_query("""with a as (select item_id, regexp_replace(text, '[^ -~]+', '', 'g') text from benchmark), b as (select item_id, text, lead(text) over (order by item_id) other from a) select item_id, levenshtein(text, other) / cast(length(other) as double) cer from b where other is not null""")
+#: The twin's edit distance counts bytes, so characters that are not ASCII get one byte each, the same in both texts.
+_PAIRED = """with b as (select item_id, text, lead(text) over (order by item_id) other from benchmark),
+c as (select distinct unnest(regexp_extract_all(text, '[^ -~]')) c from benchmark),
+m as (select coalesce(string_agg(c, '' order by c), '') f, array_to_string(list_transform(range(1, count(*) + 1), lambda i: chr(cast(i as int))), '') g from c)"""
+
+
+def _paired(spark, sf_dir):
+    """Each benchmark text and the next; the table is small, so one task may order it."""
+    b = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return b.select("item_id", "text", F.lead("text").over(Window.orderBy("item_id")).alias("other")).filter("other is not null")
+
+
+@_query(_PAIRED + " select item_id, levenshtein(translate(text, f, g), translate(other, f, g)) / cast(length(other) as double) cer from b, m where other is not null")
 def character_error_rate(spark, sf_dir):
-    # the twin's edit distance counts bytes: only ASCII is compared
-    b = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", F.regexp_replace("text", "[^ -~]+", "").alias("text"))
-    following = b.select((F.col("item_id") - 1).alias("item_id"), F.col("text").alias("other"))
-    return b.join(following, "item_id").select("item_id", T.character_error_rate(F.col("text"), F.col("other")).alias("cer"))
+    return _paired(spark, sf_dir).select("item_id", T.character_error_rate(F.col("text"), F.col("other")).alias("cer"))
+
+
+_GRAMS = lambda side: f"select item_id, {side == 'text'} mine, n, array_to_string(w[i:i + n - 1], ' ') gram from (select item_id, string_split_regex(trim(regexp_replace({side}, '[ \t-\r]+', ' ', 'g')), ' ') w from b where other is not null), range(1, 5) r(n), range(1, len(w) - n + 2) s(i)"
+
+
+@_query(f"""{_PAIRED}, g as ({_GRAMS('text')} union all {_GRAMS('other')}), k as (select item_id, n, gram, count(*) filter (mine) x, count(*) filter (not mine) y from g group by all),
+p as (select item_id, n, cast(sum(least(x, y)) as double) hit, cast(sum(x) as double) total, cast(sum(y) as double) wanted from k group by all)
+select item_id, round(case when count(*) filter (hit > 0) = 4 then exp(least(0, 1 - max(wanted) filter (n = 1) / max(total) filter (n = 1))) * exp(avg(ln(hit / total)) filter (hit > 0)) else 0 end, 9) bleu from p group by item_id""")
+def bleu(spark, sf_dir):
+    return Q.bleu(_paired(spark, sf_dir).select("item_id", F.col("text").alias("got"), F.col("other").alias("want")), "item_id").select("item_id", F.round("bleu", 9).alias("bleu"))
+
+
+@_query()
+def rouge_l(spark, sf_dir):
+    """Longest common subsequences have no SQL; tested by brute force."""
+    return Q.rouge_l(_paired(spark, sf_dir).select("item_id", F.col("text").alias("got"), F.col("other").alias("want")), "item_id")
 
 
 @_query(f"with {CLEAN}, l as (select doc_id, page_num, unnest(string_split(markdown, chr(10))) l from cleaned) select {_KEYS}, count(*) filter (regexp_matches(l, '^#+ ')) n_headings, count(*) filter (length(l) > 1 and starts_with(l, '|') and ends_with(l, '|')) n_table_rows, count(*) filter (regexp_matches(l, '^([-*+]|[0-9]+\\.) ')) n_list_items from l group by all")
@@ -431,6 +509,10 @@ def structure_counts(spark, sf_dir):
     return cleaned_pages(spark, sf_dir).select("doc_id", "page_num", *(v.cast("long").alias(k) for k, v in T.structure_counts(F.col("markdown")).items()))
 
 
-@_query()
+@_query(f"""with {_assembled(SEPARATORS['comment'][1]).replace(CLEAN, _STATS)},
+pg as (select doc_id, list({{'page_num': cast(page_num as int), 'markdown': markdown, 'input_tokens': case when failed then 0 else 1000 end, 'output_tokens': cast(ceil(raw_bytes / 4.0) as bigint), 'duration_ms': page_num * 10, 'retries': case when failed then 3 else 0 end,
+  'error': case when failed then {{'kind': 'LlmFailed', 'page': cast(page_num as int), 'retries': 3, 'secs': null, 'detail': 'mock failure'}} end}} order by page_num) pages from cleaned group by doc_id)
+select doc_id, cast(to_json({{'markdown': markdown, 'pages': pages, 'stats': {{'total_pages': total_pages, 'processed_pages': processed_pages, 'failed_pages': failed_pages, 'skipped_pages': skipped_pages, 'total_input_tokens': total_input_tokens, 'total_output_tokens': total_output_tokens,
+  'total_duration_ms': llm_duration_ms, 'render_duration_ms': render_duration_ms, 'llm_duration_ms': llm_duration_ms}}}}) as varchar) json from er join pg using (doc_id) left join assembled using (doc_id)""")
 def conversion_json(spark, sf_dir):
     return A.conversion_output(cleaned_pages(spark, sf_dir), _converted(spark, sf_dir))

@@ -50,21 +50,40 @@ _NAMES = [field.split()[0] for field in METADATA.split(", ")]
 
 
 def inspect(docs: DataFrame, source: PageSource, config: ConversionConfig = ConversionConfig()) -> DataFrame:
-    """Metadata of each (doc_id, content), without rendering; blank strings become null, failures an error text."""
+    """Metadata of each (doc_id, content), without rendering; blank strings become null, failures an error text.
+
+    ``inspect_ms`` is the time that opening took.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
             for doc_id, content in zip(batch.doc_id, batch.content):
-                row = dict.fromkeys(_NAMES) | {"doc_id": doc_id, "error": None}
+                row, began = dict.fromkeys(_NAMES) | {"doc_id": doc_id, "error": None}, time.monotonic()
                 try:
                     row |= {k: v if v != "" or k == "pdf_version" else None for k, v in source.metadata(bytes(content), config.password).items()}
                 except Exception as e:  # any failure to open counts as a corrupt file
                     row["error"] = str(e)
-                out.append(row)
-            yield pd.DataFrame(out, columns=[*_NAMES, "error"]).astype({"page_count": "Int32"})
+                out.append(row | {"inspect_ms": int(1000 * (time.monotonic() - began))})
+            yield pd.DataFrame(out, columns=[*_NAMES, "error", "inspect_ms"]).astype({"page_count": "Int32"})
+
+    return docs.select("doc_id", "content").mapInPandas(run, f"{METADATA}, error string, inspect_ms bigint")
+
+
+_ENCODED = [f.split()[0] for f in ENCODED_PAGE.split(", ")]
+
 
-    return docs.select("doc_id", "content").mapInPandas(run, f"{METADATA}, error string")
+def rendered(doc_id: int, content: bytes, numbers: list[int], source: PageSource, config: ConversionConfig) -> Iterator[dict]:
+    """Encoded pages, one at a time: an image is the largest value held. What can't be rendered is left out."""
+    for number in numbers:
+        began, at = time.monotonic(), int(1000 * time.time())
+        try:
+            image = source.render(content, int(number) - 1, config)
+        except Exception:
+            image = None
+        if image is not None:
+            data = base64.b64encode(image).decode()
+            yield dict(zip(_ENCODED, (doc_id, int(number) - 1, data, "image/png", "high", int(1000 * (time.monotonic() - began)), at)))
 
 
 def render_pages(selected: DataFrame, source: PageSource, config: ConversionConfig) -> DataFrame:
@@ -73,14 +92,7 @@ def render_pages(selected: DataFrame, source: PageSource, config: ConversionConf
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for doc_id, content, numbers in zip(batch.doc_id, batch.content, batch.page_nums):
-                for number in numbers:  # one page at a time: an image is the largest value held
-                    began = time.monotonic()
-                    try:
-                        image = source.render(bytes(content), int(number) - 1, config)
-                    except Exception:
-                        image = None
-                    if image is not None:
-                        data = base64.b64encode(image).decode()
-                        yield pd.DataFrame([(doc_id, int(number) - 1, data, "image/png", "high", int(1000 * (time.monotonic() - began)))], columns=[f.split()[0] for f in ENCODED_PAGE.split(", ")])
+                for page in rendered(doc_id, bytes(content), numbers, source, config):
+                    yield pd.DataFrame([page], columns=_ENCODED)
 
     return selected.select("doc_id", "content", F.col("page_nums")).mapInPandas(run, ENCODED_PAGE)

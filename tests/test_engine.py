@@ -1,9 +1,14 @@
 """Parsers, rules against a line-by-line model, sources, providers, sinks, streaming."""
 
+import http.server
 import io
 import json
+import math
 import random
 import re
+import threading
+import time
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -13,13 +18,14 @@ from foliomill.config import ConversionConfig, PageSelection, PageSeparator, par
 from foliomill.errors import ConversionError
 from foliomill.functions import text as T
 from foliomill.operators.pages import in_sequence, prior_context, selected_count
+from foliomill.operators.quality import bleu, rouge_l
 from foliomill.plans.convert import convert, convert_to_files
 from foliomill.queries import cleaned_pages, conversion_json
 from foliomill.plans.synthetic import raw_pages
 from foliomill.sources.files import from_bytes, read_files, resolve
 from foliomill.sources.pages import TextPages, inspect
-from foliomill.sources.provider import MockProvider, infer_page, resolve_provider
-from foliomill.streaming.convert import clean_stream, with_context
+from foliomill.sources.provider import HttpProvider, MockProvider, Timed, infer_page, resolve_provider
+from foliomill.streaming.convert import clean_stream, convert_stream, with_context
 
 SF = "/root/testdata/sf0.001"
 
@@ -104,6 +110,8 @@ def test_rules_equal_the_model(spark):
     got = [r.c for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", T.clean_markdown(F.col("t")).alias("c")).orderBy("i").collect()]
     assert [(t, model(t), g) for t, g in zip(texts, got) if model(t) != g][:3] == []
     assert {t: g for t, g in zip(texts, got) if t in EXAMPLES} == EXAMPLES
+    pages = T.clean_pages(spark.createDataFrame([(i, t, None) for i, t in enumerate(texts)] + [(len(texts), " x ", "bad")], "i int, markdown string, error string"))
+    assert [r.markdown for r in pages.orderBy("i").collect()] == [*got, " x "]
     assert spark.sql("select cast(null as string) t").select(T.clean_markdown(F.col("t"))).first()[0] is None
 
 
@@ -117,7 +125,12 @@ def test_convert(spark, tmp_path):
     assert rows[1].markdown == '---\npages: 3\npdf_version: "Pdf1_4"\n---\n\n# One\n\n\n<!-- page 2 -->\n\nTwo\n| a |\n| --- |\n| b |\n\n\n<!-- page 3 -->\n\nThree\n'
     assert rows[2].markdown.endswith("only\n") and "corrupt" in rows[3].doc_error and rows[4].processed_pages == 1
     none, _ = convert(docs(spark), TextPages(), MockProvider(), ConversionConfig(pages=PageSelection.single(3)))
-    assert {r.doc_id: (r.doc_error or "")[:12] for r in none.collect()} == {1: "", 2: "Page 0 is ou", 3: "PDF is corru", 4: "Page 0 is ou"}
+    assert {r.doc_id: (r.doc_error or "")[:12] for r in none.collect()} == {1: "", 2: "Page 0 is ou", 3: "PDF '3' is c", 4: "Page 0 is ou"}
+    specs = spark.createDataFrame([(1, "2-3", "one.pdf"), (2, None, "two.pdf"), (3, "1", "three.pdf"), (4, "3-1", "four.pdf")], "doc_id long, pages string, uri string")
+    own = {r.doc_id: r for r in convert(docs(spark).join(specs, "doc_id"), TextPages(), MockProvider())[0].collect()}
+    assert own[1].markdown.startswith("Two") and own[2].processed_pages == 1 and own[4].doc_error == "Invalid configuration: invalid page range '3-1'"
+    assert own[3].doc_error == "PDF 'three.pdf' is corrupt: FormatError\nTry repairing with: qpdf --decrypt input.pdf output.pdf"
+    assert own[1].render_duration_ms >= 0 and own[1].total_duration_ms >= own[1].llm_duration_ms >= 0
     config = ConversionConfig(max_retries=1, retry_backoff_ms=0)
     failed = {r.doc_id: r for r in convert(docs(spark), TextPages(), MockProvider(share=1), config)[0].collect()}
     assert failed[1].failed_pages == 3 and failed[1].doc_error.startswith("All 3 pages failed after 1 retries each.\nFirst error: Page 1: LLM call failed")
@@ -167,6 +180,141 @@ def test_json_and_cli(spark, tmp_path):
     assert cli.main([str(tmp_path), "--inspect-only"], shown) == 0 and json.loads(shown.getvalue())["page_count"] == 2
 
 
+def run_stream(df, folder, name):
+    q = df.writeStream.format("parquet").option("path", str(folder / name)).option("checkpointLocation", str(folder / f"{name}-state")).trigger(availableNow=True).outputMode("append").start()
+    q.awaitTermination(120)
+    q.stop()
+    return df.sparkSession.read.schema(df.schema).parquet(str(folder / name))
+
+
+def test_stream_of_selected_pages(spark, tmp_path):
+    raw = raw_pages(spark, SF).filter("doc_id < 60").withColumn("page_count", F.col("page_count").cast("int"))
+    chosen = raw.filter("page_num between 2 and 7").withColumn("pages", F.sequence(F.lit(2), F.least(F.lit(7), "page_count")))
+    came = chosen.filter("(doc_id + page_num) % 4 <> 0")  # some selected pages are never made
+    ends = came.select("doc_id").distinct().select(*(F.col(c) if c == "doc_id" else F.lit(None).cast(kind).alias(c) for c, kind in came.dtypes))
+    came.repartition(3).write.parquet(str(tmp_path / "in"))
+    ends.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    files = sorted((tmp_path / "in").glob("*.parquet"), key=lambda f: f.stat().st_mtime)
+    stream = spark.readStream.schema(came.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    got = run_stream(with_context(clean_stream(stream)), tmp_path, "out")
+    key = lambda df: sorted((r.doc_id, r.page_num, r.prior or "") for r in df.collect())
+    assert len(files) >= 2 and key(got) == key(prior_context(T.clean_pages(came)))
+
+
+def test_documents_as_a_stream(spark, tmp_path):
+    docs(spark).repartition(2).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(docs(spark).schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    key = lambda df: sorted((r.doc_id, r.page_num or 0, r.markdown, r.error.kind if r.error else "") for r in df.collect())
+    for n, config in enumerate((ConversionConfig(), ConversionConfig(maintain_format=True), ConversionConfig(pages=PageSelection.between(2, 7)))):
+        got = key(run_stream(convert_stream(stream, TextPages(), MockProvider(), config), tmp_path, f"out{n}"))
+        batch = key(convert(docs(spark), TextPages(), MockProvider(), config)[1])
+        assert [x for x in got if x[1]] == batch and (3, 0, "", "CorruptPdf") in got
+        assert ((2, 0, "", "PageOutOfRange") in got) == (n == 2)
+
+
+class Answers(http.server.BaseHTTPRequestHandler):
+    asked = []
+
+    def do_POST(self):
+        body = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+        self.asked.append((self.path, self.headers.get("Authorization"), body))
+        if body["model"] == "slow":
+            time.sleep(3)
+        if body["model"] == "bad":
+            self.send_error(500)
+            return
+        data = json.dumps({"choices": [{"message": {"content": "# hi"}}], "usage": {"prompt_tokens": 7, "completion_tokens": 2}}).encode()
+        self.send_response(200)
+        self.end_headers()
+        self.wfile.write(data)
+
+    def do_GET(self):
+        if self.path == "/no.pdf":
+            self.send_error(404)
+            return
+        self.send_response(200)
+        self.end_headers()
+        self.wfile.write(b"%PDF-1.4\nfrom afar")
+
+    def log_message(self, *args): ...
+
+
+@pytest.fixture
+def server():
+    running = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Answers)
+    threading.Thread(target=running.serve_forever, daemon=True).start()
+    yield f"http://127.0.0.1:{running.server_port}"
+    running.shutdown()
+
+
+def test_http_provider(server, monkeypatch):
+    page = {"doc_id": 1, "page_index": 1, "image_b64": "aGk="}
+    quick = ConversionConfig(max_retries=0, api_timeout_secs=1, maintain_format=True)
+    got = infer_page(HttpProvider(server, "m", "key"), page, "before", quick)
+    assert (got["markdown"], got["input_tokens"], got["output_tokens"], got["error"]) == ("# hi", 7, 2, None)
+    path, key, body = Answers.asked[-1]
+    assert path == "/chat/completions" and key == "Bearer key" and [m["role"] for m in body["messages"]] == ["system", "system", "user"]
+    assert body["messages"][-1]["content"][0]["image_url"]["url"] == "data:image/png;base64,aGk="
+    assert infer_page(HttpProvider(server, "bad"), page, None, quick)["error"]["detail"].startswith("HTTP 500")
+    late = infer_page(HttpProvider(server, "slow"), page, None, quick)["error"]
+    assert (late["kind"], late["page"], late["secs"]) == ("Timeout", 2, 1)
+
+    class Slow:
+        def complete(self, messages, options):
+            time.sleep(2)
+
+    assert infer_page(Timed(Slow(), 0.1), page, None, quick)["error"]["kind"] == "Timeout"
+    assert infer_page(Timed(MockProvider(), 5), page, None, quick)["markdown"] == "hi"
+    named = resolve_provider(ConversionConfig(), env={"OPENAI_API_KEY": "k"})
+    assert isinstance(named, HttpProvider) and named.api_key == "k"
+
+
+def test_urls(spark, server, tmp_path, capsys):
+    shown = io.StringIO()
+    assert cli.main([f"{server}/a.pdf", "--provider", "mock"], shown) == 0 and shown.getvalue() == "from afar\n"
+    assert cli.main([f"{server}/no.pdf", "--provider", "mock"], io.StringIO()) == 1 and "HTTP 404" in capsys.readouterr().err
+    (tmp_path / "a.pdf").write_bytes(b"%PDF-1.4\nhello")
+    (tmp_path / "b.pdf").write_bytes(b"<html>")
+    shown = io.StringIO()
+    assert cli.main([str(tmp_path), "--provider", "mock", "--json"], shown) == 1 and "not a valid PDF" in capsys.readouterr().err
+    assert [json.loads(x)["markdown"] for x in shown.getvalue().splitlines()] == ["hello\n"]
+
+
+def test_word_scores(spark):
+    rng = random.Random(2)
+    pairs = [(i, *(" ".join(rng.choices("abcdef", k=rng.randint(0, 30))) for _ in range(2))) for i in range(60)] + [(60, None, "a"), (61, "a b c d e", "a b c d e")]
+    df = spark.createDataFrame(pairs, "i int, got string, want string")
+
+    def lcs(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            row = [0, *_row(row, x, b)]
+        return row[-1]
+
+    def _row(row, x, b):
+        out = [0]
+        for j, y in enumerate(b):
+            out.append(row[j] + 1 if x == y else max(row[j + 1], out[-1]))
+        return out[1:]
+
+    def brute_bleu(a, b):
+        logs = []
+        for n in range(1, 5):
+            x, y = (Counter(tuple(t[i : i + n]) for i in range(len(t) - n + 1)) for t in (a, b))
+            hit = sum((x & y).values())
+            if not hit:
+                return 0.0
+            logs.append(math.log(hit / sum(x.values())))
+        return math.exp(min(0, 1 - len(b) / len(a)) + sum(logs) / 4)
+
+    rouge, scores = ({r[0]: r[1] for r in f(df, "i").collect()} for f in (rouge_l, bleu))
+    for i, got, want in pairs:
+        a, b = (got or "").split(), (want or "").split()
+        assert abs(rouge[i] - (2 * lcs(a, b) / (len(a) + len(b)) if a and b else 0)) < 1e-9
+        if a and b:
+            assert abs(scores[i] - brute_bleu(a, b)) < 1e-9
+
+
 def test_stream_equals_batch(spark, tmp_path):
     raw = raw_pages(spark, SF).filter("doc_id < 40").withColumn("page_count", F.col("page_count").cast("int"))
     raw.repartition(3).write.parquet(str(tmp_path / "in"))
