@@ -11,15 +11,15 @@ from pyspark.sql import functions as F
 from ..config import PageSelection
 
 
-#: A table of fewer bytes for each core is dealt out anew before costly row-local work.
+#: A table of fewer bytes for each core, in fewer files than cores, is dealt out anew before costly row-local work.
 SMALL = 8 << 20
 
 
 def spread(rows: DataFrame) -> DataFrame:
-    """A small table over all cores, whatever its files' splits; a large one, which has splits enough, as it is."""
+    """A small stored table over all cores, whatever its files' splits; a large one, which has splits enough, as it is."""
     cores = rows.sparkSession.sparkContext.defaultParallelism
     size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return rows.repartition(cores) if size < SMALL * cores else rows
+    return rows.repartition(cores) if size < SMALL * cores and len(rows.inputFiles()) < cores else rows
 
 
 def expand(docs: DataFrame, page_count: str = "page_count") -> DataFrame:
