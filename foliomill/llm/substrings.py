@@ -139,12 +139,12 @@ def _reach(a: np.ndarray, b: np.ndarray) -> int:
 def _passages(least_words: int):
     def extend(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
-        head = next((r for r in rows if r["row_id"] == r["first_row"]), None)
+        head = next((r for r in rows if r["doc_id"] == r["first_doc"]), None)
         out = []
         if head:
             b = np.frombuffer(head["text"].encode(), np.uint8)
             for r in rows:
-                if r["row_id"] == r["first_row"]:
+                if r["doc_id"] == r["first_doc"]:
                     continue
                 data = r["text"].encode()
                 a, done = np.frombuffer(data, np.uint8), -1
@@ -186,14 +186,20 @@ def _written(df: DataFrame, name: str) -> DataFrame:
         conf.set(_CLEAN, before)
 
 
+#: A row is known by its id and a hash of its text, wherever it stands; a pair has a row and a first row.
+ROW = ("row_id", "doc_id")
+PAIR = (*ROW, "first_row", "first_doc")
+
+
 def _linked(likely: DataFrame, window: int, run: int, kept: int) -> DataFrame:
     """Rows and the first rows of their windows, for one part of the windows."""
     found = likely.mapInArrow(_windows(window, run, kept), "row_id long, doc_id long, start int, digest long")
     shared = found.groupBy("digest").agg(F.min(F.struct("doc_id", "row_id", "start")).alias("first"))
     hits = found.join(shared, "digest").filter("doc_id <> first.doc_id")
+    hits = hits.withColumns({"first_row": F.col("first.row_id"), "first_doc": F.col("first.doc_id")})
     # a seed is the window's start in the document and in its first, as one number
     seed = F.shiftleft(F.col("start").cast("long"), 32) + F.col("first.start")
-    return hits.groupBy("row_id", F.col("first.row_id").alias("first_row")).agg(F.collect_list(seed).alias("seeds"))
+    return hits.groupBy(*PAIR).agg(F.collect_list(seed).alias("seeds"))
 
 
 def repeated_passages(docs: DataFrame, *, words: int = WORDS) -> DataFrame:
@@ -204,19 +210,20 @@ def repeated_passages(docs: DataFrame, *, words: int = WORDS) -> DataFrame:
     start and end (code points, end exclusive) and n_words. Every window of
     ``words`` + 1 words that a smaller id has too lies in some passage. Documents
     without repeated passages give no row. Null texts count as empty, rows with a
-    null id are left out; rows that share an id are not compared with each other.
+    null id are left out; rows that share an id are not compared with each other;
+    equal rows give equal results. The input may be any table, in any order.
     """
     window, run = words + 1, (words + 3) // 3
-    rows = docs.filter("doc_id is not null").select(F.monotonically_increasing_id().alias("row_id"), F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
+    rows = docs.filter("doc_id is not null").select(F.xxhash64(text_or_empty()).alias("row_id"), F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     runs = rows.mapInArrow(_runs(window, run), "row_id long, doc_id long, at int, digest long")
     several = runs.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last").select("digest")
-    places = runs.select("row_id", "at", "digest").join(several, "digest").groupBy("row_id").agg(F.collect_list("at").alias("places"))
-    likely = _written(rows.join(places, "row_id"), "likely")
+    places = runs.select(*ROW, "at", "digest").join(several, "digest").groupBy(*ROW).agg(F.collect_list("at").alias("places"))
+    likely = _written(rows.join(places, [*ROW]), "likely")
     parts = [_written(_linked(likely, window, run, k), "passages") for k in range(PARTS)]
-    pairs = reduce(DataFrame.unionByName, parts).groupBy("row_id", "first_row").agg(F.flatten(F.collect_list("seeds")).alias("seeds"))
+    pairs = reduce(DataFrame.unionByName, parts).groupBy(*PAIR).agg(F.flatten(F.collect_list("seeds")).alias("seeds"))
     pairs = _written(pairs, "passages")
-    sizes = pairs.groupBy("first_row").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
-    blocks = pairs.join(sizes, "first_row").select("row_id", "first_row", "seeds", F.pmod(F.xxhash64("row_id"), F.col("blocks")).alias("block"))
-    heads = blocks.select(F.col("first_row").alias("row_id"), "first_row", "block").distinct().withColumn("seeds", F.lit(None).cast(blocks.schema["seeds"].dataType))
-    with_text = blocks.unionByName(heads).join(likely.select("row_id", "doc_id", "text"), "row_id")
-    return with_text.groupBy("first_row", "block").applyInArrow(_passages(words), "doc_id long, first_doc_id long, start long, end long, n_words long")
+    sizes = pairs.groupBy("first_row", "first_doc").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    blocks = pairs.join(sizes, ["first_row", "first_doc"]).select(*PAIR, "seeds", F.pmod(F.xxhash64(*ROW), F.col("blocks")).alias("block"))
+    heads = blocks.select(F.col("first_row").alias("row_id"), F.col("first_doc").alias("doc_id"), "first_row", "first_doc", "block").distinct().withColumn("seeds", F.lit(None).cast(blocks.schema["seeds"].dataType))
+    with_text = blocks.unionByName(heads).join(likely.select(*ROW, "text"), [*ROW])
+    return with_text.groupBy("first_row", "first_doc", "block").applyInArrow(_passages(words), "doc_id long, first_doc_id long, start long, end long, n_words long")
