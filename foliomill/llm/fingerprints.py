@@ -160,7 +160,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     both = dealt.select("part", F.lit(False).alias("look"), "doc_id", "text").unionByName(ahead)
     tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), len(limits) + 1)
     order = ["part", "look", F.col("doc_id").asc_nulls_first(), "text"]
-    return both.repartition(tasks, "part").sortWithinPartitions(*order).mapInArrow(_fingerprints, _OUT)
+    return both.repartitionById(tasks, "part").sortWithinPartitions(*order).mapInArrow(_fingerprints, _OUT)  # a range in each task
 
 
 def _count_below(bounds, value, n: int):

@@ -36,6 +36,12 @@ def test_pack(spark):
     assert pack(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_padding(spark):
+    found = pack(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).agg({"length": "sum", "sequence_id": "max"}).first()
+    tokens, sequences = found["sum(length)"], found["max(sequence_id)"] + 1
+    assert tokens <= 1024 * sequences <= 1.01 * tokens
+
+
 def test_patterns():
     rng = np.random.default_rng(3)
     demand = {int(s): int(n) for s, n in zip(*np.unique(rng.integers(1, 129, 20_000), return_counts=True))}
