@@ -45,6 +45,8 @@ FIT_CHARS = 128
 ALPHA = 0.05
 MARGIN = 10.0
 DEVIATIONS = 3.0
+#: The least deviation: what the end of a string costs differs with its length, even where all characters are alike.
+LEAST_SPREAD = 0.1
 #: Distinct strings that a task holds or remembers.
 HELD = 100_000
 
@@ -223,7 +225,7 @@ class Model:
                 scores = [(automaton.likelihood(x), len(x) + 1) for x in held_out]
                 middle = median(s / n for s, n in scores)  # a few odd labels don't open the gate
                 spread = 1.4826 * median(abs(s - middle * n) / math.sqrt(n) for s, n in scores)
-                self.kinds.append((automaton, middle, max(spread, 0.05)))
+                self.kinds.append((automaton, middle, max(spread, LEAST_SPREAD)))
 
     def accepts(self, word: str) -> bool:
         """Likelier than the background by a margin, and as likely as a credential of this length may be."""

@@ -9,7 +9,7 @@ import sentencepiece
 import public_tokenizers
 from foliomill.llm.mixing import mix, mix_sources
 from foliomill.llm.quality_rules import POLICIES, RULES, ablations, keep_good, ledger, policy_ablations, quality_rules
-from foliomill.llm.secrets import Automaton, Model, redact_secrets, secret_scan, steps
+from foliomill.llm.secrets import Automaton, Model, base_spans, candidates, redact_secrets, secret_scan, steps
 from foliomill.llm.token_counts import pretokens, token_counts
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, base string, _words string"
@@ -95,6 +95,17 @@ def test_learned_secrets(spark):
     assert clean.filter("text like '%[assign]%' and n_chars = length(text)").count() == 200
 
 
+def test_candidates():
+    assert candidates("pwd=Xk83hfQ2 word", []) == [(4, "Xk83hfQ2")] and candidates("short.er ...", []) == [(0, "short.er")]
+    text = "0a" * 16 + "GHIJKLMNOPQ"
+    assert candidates(text, base_spans(text)) == [(32, "GHIJKLMNOPQ")] and candidates("", []) == []
+    texts = ["token = " + hashlib.sha1(bytes([i])).hexdigest() for i in range(200)] + ["common words stand everywhere around credentials"] * 50 + ["id 9f8a7b6c5d4e here"]
+    labelled = {"assign": [t[8:] for t in texts[:200]] + ["Some-Odd.Label/++"]}
+    model = Model(labelled, Counter(pair for t in texts for _, x in candidates(t, base_spans(t)) for pair in steps(x)))
+    assert model.accepts("9f8a7b6c5d4e") and not model.accepts("everywhere") and not model.accepts("credentials")
+    assert Automaton(["ab" * 200, "ab" * 3]).likelihood("ab" * 100) > -400  # long labels teach their format
+
+
 def test_automaton_merges():
     loop = Automaton(["a1" * n for n in range(1, 9) for _ in range(2 ** (9 - n))])
     assert sum(bool(x) for x in loop.log) <= 4
