@@ -1,4 +1,4 @@
-"""Queries opN_<name>: each applies one operator to its whole table."""
+"""Queries opN_<name>: each applies one operator to its whole table; others show the parts of operators that SQL can express."""
 
 from __future__ import annotations
 
@@ -17,7 +17,7 @@ from .quality_rules import policy_ablations, quality_rules
 from .secrets import secret_scan
 from .substrings import repeated_passages
 from .token_counts import token_counts
-from .url_filters import url_filter
+from .url_filters import RULES, parts, rule_of, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -70,12 +70,29 @@ def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return policy_ablations(table(spark, sf_dir, "documents"))
 
 
+def url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op1 decides without its trees: host, path and the longest rule."""
+    host, path = parts(F.col("url"))
+    found = table(spark, sf_dir, "pages").select("page_id", host.alias("host"), path.alias("path"))
+    return found.withColumn("rule", rule_of(F.col("host"), F.col("path"), RULES)[0])
+
+
+def secret_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers of the base spans of op2."""
+    return op2_secret_scans(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex")
+
+
+def edited_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lengths and edited texts of op10."""
+    return op10_fingerprints(spark, sf_dir).select("doc_id", "n_chars", "edited_sha256")
+
+
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_url_filters, op2_secret_scans, op3_pseudonyms, op4_token_counts, op5_mix_sources, op6_repeated_passages, op7_near_duplicates, op8_packing, op9_quality_rules, op10_fingerprints, quality_ablations)}
+    return {f.__name__: f for f in (op1_url_filters, op2_secret_scans, op3_pseudonyms, op4_token_counts, op5_mix_sources, op6_repeated_passages, op7_near_duplicates, op8_packing, op9_quality_rules, op10_fingerprints, quality_ablations, url_rules, secret_counts, edited_texts)}
 
 
 _LEDGER = r"""with d as (select doc_id, coalesce(text, '') t from documents),
@@ -120,6 +137,21 @@ a as (select doc_id, size, source_size, target, floor(target) budget, case when
 select doc_id, size, source_size, target, cast(epochs * size + greatest(0, least(budget - epochs * source_size - before, size)) as bigint) taken from a"""
 
 
+_URLS = r"""with u as (select page_id, case when contains(coalesce(url, ''), '://') then substr(url, instr(url, '://') + 3) else '' end r from pages),
+h as (select page_id, regexp_extract(r, '^[^/?#]*') raw, r from u),
+p as (select page_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') host, regexp_extract(substr(r, length(raw) + 1), '^[^?#]*') path from h),
+k as (select p.*, rule from p left join (values ('net/'), ('example.net/en/'), ('example.com/de/'), ('org/fr/')) t(rule) on (host = split_part(rule, '/', 1) or ends_with(host, '.' || split_part(rule, '/', 1))) and starts_with(path, substr(rule, instr(rule, '/'))))
+select page_id, host, path, arg_max(rule, length(rule)) rule from k group by page_id, host, path"""
+
+_SECRETS = r"""with d as (select doc_id, coalesce(text, '') t from documents)
+select doc_id, cast(len(list_filter(regexp_extract_all(t, '([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 2), lambda x: length(x) >= 8)) as bigint) n_assign,
+  cast(len(list_filter(regexp_extract_all(t, 'AKIA[A-Z0-9]+'), lambda x: length(x) >= 16)) as bigint) n_access, cast(len(list_filter(regexp_extract_all(t, '[0-9a-f]+'), lambda x: length(x) >= 32)) as bigint) n_hex from d"""
+
+_EDITED = """with d as (select doc_id, coalesce(text, '') t from documents),
+n as (select doc_id, t, coalesce(lead(t) over (order by doc_id), first_value(t) over (order by doc_id)) following from d)
+select doc_id, length(t) n_chars, sha256(left(t, length(t) - length(t) // 4) || left(following, length(t) // 4)) edited_sha256 from n"""
+
+
 def oracle_sql() -> dict[str, str]:
     """Twins of the queries that SQL can express; models, tokens and similarity are tested by brute force."""
-    return {"op5_mix_sources": _MIX, "op9_quality_rules": _QUALITY, "quality_ablations": _ablation_sql()}
+    return {"op5_mix_sources": _MIX, "op9_quality_rules": _QUALITY, "quality_ablations": _ablation_sql(), "url_rules": _URLS, "secret_counts": _SECRETS, "edited_texts": _EDITED}
