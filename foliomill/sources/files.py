@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import MESSAGES, message
-from ..functions.scalars import is_accepted, is_url
+from ..functions.scalars import is_accepted
 
 RESOLVED = "doc_id bigint, uri string, kind string, content binary, error_kind string, error string"
 
@@ -83,10 +83,6 @@ def from_bytes(spark: SparkSession, documents: list[tuple[int, bytes]]) -> DataF
     return spark.createDataFrame(documents, "doc_id bigint, content binary")
 
 
-def input_kind(uri):
-    return F.when(is_url(uri), "downloaded").otherwise("local")
-
-
 def write_markdown(docs: DataFrame, folder: str, name: str = "doc_id") -> DataFrame:
     """Write each document's Markdown to ``<folder>/<name>.md``; (doc_id, path, error).
 

@@ -7,7 +7,6 @@ content as a page break, which is enough to test everything around it.
 
 from __future__ import annotations
 
-import base64
 import time
 from collections.abc import Iterator
 from typing import Protocol
@@ -17,7 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import ConversionConfig
-from ..schema import ENCODED_PAGE, METADATA
+from ..functions.scalars import encode_page
+from ..schema import METADATA
 
 
 class PageSource(Protocol):
@@ -70,11 +70,13 @@ def inspect(docs: DataFrame, source: PageSource, config: ConversionConfig = Conv
     return docs.select("doc_id", "content").mapInPandas(run, f"{METADATA}, error string, inspect_ms bigint")
 
 
-_ENCODED = [f.split()[0] for f in ENCODED_PAGE.split(", ")]
+#: Images as they come from a source.
+IMAGE = "doc_id bigint, page_index int, content binary, render_encode_ms bigint, started_ms bigint"
+_IMAGE = [f.split()[0] for f in IMAGE.split(", ")]
 
 
 def rendered(doc_id: int, content: bytes, numbers: list[int], source: PageSource, config: ConversionConfig) -> Iterator[dict]:
-    """Encoded pages, one at a time: an image is the largest value held. What can't be rendered is left out."""
+    """Images of pages, one at a time: an image is the largest value held. What can't be rendered is left out."""
     for number in numbers:
         began, at = time.monotonic(), int(1000 * time.time())
         try:
@@ -82,8 +84,7 @@ def rendered(doc_id: int, content: bytes, numbers: list[int], source: PageSource
         except Exception:
             image = None
         if image is not None:
-            data = base64.b64encode(image).decode()
-            yield dict(zip(_ENCODED, (doc_id, int(number) - 1, data, "image/png", "high", int(1000 * (time.monotonic() - began)), at)))
+            yield dict(zip(_IMAGE, (doc_id, int(number) - 1, image, int(1000 * (time.monotonic() - began)), at)))
 
 
 def render_pages(selected: DataFrame, source: PageSource, config: ConversionConfig) -> DataFrame:
@@ -93,6 +94,7 @@ def render_pages(selected: DataFrame, source: PageSource, config: ConversionConf
         for batch in batches:
             for doc_id, content, numbers in zip(batch.doc_id, batch.content, batch.page_nums):
                 for page in rendered(doc_id, bytes(content), numbers, source, config):
-                    yield pd.DataFrame([page], columns=_ENCODED)
+                    yield pd.DataFrame([page], columns=_IMAGE)
 
-    return selected.select("doc_id", "content", F.col("page_nums")).mapInPandas(run, ENCODED_PAGE)
+    images = selected.select("doc_id", "content", F.col("page_nums")).mapInPandas(run, IMAGE)
+    return images.withColumn("_e", encode_page(F.col("content"))).select("doc_id", "page_index", "_e.*", "render_encode_ms", "started_ms")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import base64
 from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
 from itertools import islice
@@ -49,7 +50,7 @@ def convert_stream(docs: DataFrame, source: PageSource, provider: Provider, conf
         numbers = [i + 1 for i in config.pages.to_indices(total)]
         if not numbers:
             yield failed(doc_id, "PageOutOfRange", f"document has {total} pages")
-        images = rendered(doc_id, content, numbers, source, config)
+        images = (image | {"image_b64": base64.b64encode(image["content"]).decode()} for image in rendered(doc_id, content, numbers, source, config))
         if config.maintain_format:
             prior = None
             for image in images:

@@ -269,6 +269,18 @@ def test_http_provider(server, monkeypatch):
     assert isinstance(named, HttpProvider) and named.api_key == "k"
 
 
+def test_messages_are_built_alike(spark):
+    from foliomill.functions import scalars
+    from foliomill.sources.provider import messages
+
+    for keep in (False, True):
+        for prior in (None, "", "# Before\n"):
+            config = ConversionConfig(maintain_format=keep, system_prompt=None if prior else "own prompt")
+            built = scalars.messages(F.lit("aGk="), F.lit(prior).cast("string"), maintain_format=keep, system_prompt=config.system_prompt)
+            row = spark.range(1).select(built.alias("m")).first()
+            assert [m.asDict(True) for m in row.m] == messages("aGk=", prior, config)
+
+
 def test_urls(spark, server, tmp_path, capsys):
     shown = io.StringIO()
     assert cli.main([f"{server}/a.pdf", "--provider", "mock"], shown) == 0 and shown.getvalue() == "from afar\n"
