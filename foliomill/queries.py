@@ -11,14 +11,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .config import PageSelection, PageSeparator
+from .config import ConversionConfig, PageSelection, PageSeparator
 from .errors import message, open_error_kind, page_error_message, short
 from .functions import scalars as S
 from .functions import text as T
 from .operators import assemble as A
 from .operators import pages as P
 from .operators import quality as Q
+from .plans.convert import convert
 from .plans.synthetic import CLASSES, FAILS_WHOLE, FORMS, raw_pages
+from .schema import RAW_PAGE
+from .sources.pages import TextPages, inspect, render_pages
+from .sources.provider import MockProvider, infer, infer_page
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -516,3 +520,67 @@ select doc_id, cast(to_json({{'markdown': markdown, 'pages': pages, 'stats': {{'
   'total_duration_ms': llm_duration_ms, 'render_duration_ms': render_duration_ms, 'llm_duration_ms': llm_duration_ms}}}}) as varchar) json from er join pg using (doc_id) left join assembled using (doc_id)""")
 def conversion_json(spark, sf_dir):
     return A.conversion_output(cleaned_pages(spark, sf_dir), _converted(spark, sf_dir))
+
+
+# -- the conversion job, from bytes to documents -------------------------------------
+
+#: Pages as the documents' text has them, without planted defects; form feeds would be page breaks of their own.
+_PLAIN = """split_lines as (select doc_id, string_split(replace(text, chr(12), ' '), chr(10)) l from documents where text is not null),
+cut as (select doc_id, cast(ceil(len(l) / 10.0) as int) page_count, unnest(range(1, cast(ceil(len(l) / 10.0) as int) + 1)) page_num, l from split_lines),
+raw as (select doc_id, page_count, page_num, array_to_string(l[(page_num - 1) * 10 + 1:page_num * 10], chr(10)) markdown, false failed from cut)"""
+_PLAIN_CLEAN = CLEAN.replace(RAW, _PLAIN)
+_UNLUCKY = 0.25
+_RETRIES = ConversionConfig(max_retries=1, retry_backoff_ms=0)
+
+
+def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as bytes for the stand-in page source: ten lines a page."""
+    docs = P.spread(spark.read.parquet(f"{sf_dir}/documents.parquet")).withColumn("text", F.replace("text", F.lit("\f"), F.lit(" ")))
+    pages = P.lines_to_pages(docs)
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_num", "text"))), lambda p: p.text), "\f")
+    return pages.groupBy("doc_id").agg(F.concat(F.lit("%PDF-1.4\n"), joined).cast("binary").alias("content"))
+
+
+def _images(spark: SparkSession, sf_dir: str, config: ConversionConfig = ConversionConfig()) -> DataFrame:
+    docs = _files(spark, sf_dir)
+    counted = inspect(docs, TextPages(), config).select("doc_id", F.sequence(F.lit(1), F.col("page_count")).alias("page_nums"))
+    return render_pages(docs.join(counted, "doc_id"), TextPages(), config)
+
+
+@_query(f"with {_PLAIN} select doc_id, cast(max(page_count) as int) page_count, 'Pdf1_4' pdf_version, false is_encrypted, cast(null as varchar) title from raw group by doc_id")
+def document_metadata(spark, sf_dir):
+    return inspect(_files(spark, sf_dir), TextPages()).select("doc_id", "page_count", "pdf_version", "is_encrypted", "title")
+
+
+@_query(f"with {_PLAIN} select doc_id, cast(page_num - 1 as int) page_index, md5(base64(encode(markdown))) image_md5, 'image/png' mime_type, 'high' detail from raw")
+def page_images(spark, sf_dir):
+    return _images(spark, sf_dir).select("doc_id", "page_index", F.md5("image_b64").alias("image_md5"), "mime_type", "detail")
+
+
+@_query(f"""with {_PLAIN}, r as (select *, ('0x'||left(md5(markdown), 2))::int < {256 * _UNLUCKY} bad from raw)
+select {_KEYS}, case when bad then '' else markdown end markdown, cast(case when bad then 0 else 1000 end as bigint) input_tokens, cast(case when bad then 0 else ceil(strlen(markdown) / 4.0) end as bigint) output_tokens,
+case when bad then 1 else 0 end retries, case when bad then 'Page '||page_num||': LLM call failed after 1 retries: mock failure' end error from r""")
+def infer_pages(spark, sf_dir):
+    """Rendered pages through a provider of which a quarter of the pages fail, however often they are tried."""
+    found = infer(_images(spark, sf_dir), MockProvider(share=_UNLUCKY), _RETRIES)
+    return found.select("doc_id", "page_num", "markdown", "input_tokens", "output_tokens", "retries", page_error_message(F.col("error")).alias("error"))
+
+
+@_query(f"""with {_PLAIN}, r as (select *, ('0x'||left(md5(markdown), 2))::int < {256 * _UNLUCKY} bad from raw),
+p as (select *, coalesce(last_value(case when not bad then markdown end ignore nulls) over (partition by doc_id order by page_num rows between unbounded preceding and 1 preceding), '') prior from r)
+select {_KEYS}, cast(case when bad then 0 else 1000 + case when prior = '' then 0 else (strlen({_text(S.CONTINUITY)}) + 6 + strlen(prior)) // 4 end end as bigint) input_tokens from p""")
+def sequential_pages(spark, sf_dir):
+    """Each page is told the last good one before it: the mock counts that text as input."""
+    provider, config = MockProvider(share=_UNLUCKY), ConversionConfig(max_retries=1, retry_backoff_ms=0, maintain_format=True)
+    step = lambda page, prior: infer_page(provider, page, prior, config)
+    return P.in_sequence(_images(spark, sf_dir).withColumn("page_num", F.col("page_index") + 1), step, RAW_PAGE).select("doc_id", "page_num", "input_tokens")
+
+
+@_query(f"""with {_assembled(SEPARATORS['rule'][1]).replace(CLEAN, _PLAIN_CLEAN)}, n as (select doc_id, count(*) n, cast(sum(ceil(raw_bytes / 4.0)) as bigint) o from cleaned where page_num <= 3 group by doc_id),
+three as (select doc_id, string_agg((case when page_num > 1 then {SEPARATORS['rule'][1]} else '' end)||markdown, '' order by page_num) markdown from cleaned where page_num <= 3 group by doc_id)
+select doc_id, markdown, n processed_pages, cast(0 as bigint) failed_pages, 1000 * n total_input_tokens, o total_output_tokens, cast(null as varchar) doc_error from n join three using (doc_id)""")
+def conversion_job(spark, sf_dir):
+    """The whole job over bytes: inspect, select, render, infer, clean, assemble."""
+    config = ConversionConfig(pages=PageSelection.between(1, 3), page_separator=PageSeparator("rule"))
+    documents, _ = convert(_files(spark, sf_dir), TextPages(), MockProvider(), config)
+    return documents.select("doc_id", "markdown", "processed_pages", "failed_pages", "total_input_tokens", "total_output_tokens", "doc_error")
