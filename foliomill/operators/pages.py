@@ -29,7 +29,7 @@ def expand(docs: DataFrame, page_count: str = "page_count") -> DataFrame:
 
 
 def lines_to_pages(docs: DataFrame, per_page: int = 10) -> DataFrame:
-    """(doc_id, page_count, page_num, text): texts cut into pages of so many lines."""
+    """(doc_id, page_count, page_num, text): texts cut into pages of so many lines; null texts have no pages."""
     lines = F.split("text", "\n", -1)
     cut = F.transform(F.sequence(F.lit(0), F.floor((F.size(lines) - 1) / per_page).cast("int")), lambda p: F.array_join(F.slice(lines, p * per_page + 1, per_page), "\n"))
     pages = docs.filter("text is not null").select("doc_id", cut.alias("pages"))
