@@ -18,10 +18,20 @@ from ..sources.pages import PageSource, inspect, render_pages
 from ..sources.provider import Provider, infer, infer_page
 
 
+#: Bytes of a batch that goes to Python, about: pages carry images, and thousands of those would fill a task's memory.
+BATCH_BYTES = 32 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def stored(df: DataFrame, folder: str, name: str) -> DataFrame:
-    """Write and read back: paid or slow results are never computed twice."""
-    path = f"{folder}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    """Write and read back: paid or slow results are never computed twice. Rows go to Python in batches of bounded size."""
+    path, conf = f"{folder}/{name}-{uuid.uuid4().hex}", df.sparkSession.conf
+    before = conf.get(_BATCH)
+    conf.set(_BATCH, BATCH_BYTES)
+    try:
+        df.write.parquet(path)
+    finally:
+        conf.set(_BATCH, before)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
