@@ -104,11 +104,11 @@ class Model:
         return 1 / (1 + F.exp(-self.score()))
 
 
-def _tree(tree) -> Column:
+def _tree(tree, below=lambda name, threshold: F.col(name) <= threshold) -> Column:
     if not isinstance(tree, tuple):
         return F.lit(float(tree))
     name, threshold, left, right = tree
-    return F.when(F.col(name) <= threshold, _tree(left)).otherwise(_tree(right))
+    return F.when(below(name, threshold), _tree(left, below)).otherwise(_tree(right, below))
 
 
 def _bin(value: Column, limits: list[float]) -> Column:
@@ -120,19 +120,21 @@ def _gain(g: float, h: float) -> float:
 
 
 def _grow(sample: DataFrame, model: Model, limits: dict[str, list[float]]) -> None:
-    """Add one tree, level by level."""
+    """Add one tree, level by level, over binned features."""
     tree: dict[int, tuple | float] = {}  # by heap position: a split (feature, threshold), or a leaf
-    sums = sample.withColumn("_p", model.probability()).select(*FEATURES, (F.col("_n") * (F.col("_bad") - F.col("_p"))).alias("_g"), (F.col("_n") * F.col("_p") * (1 - F.col("_p"))).alias("_h"))
+    below = lambda name, threshold: F.col(name) <= limits[name].index(threshold)
+    score = sum((_tree(t, below) for t in model.trees), F.lit(model.base))
+    sums = sample.withColumn("_p", 1 / (1 + F.exp(-score))).select(*FEATURES, (F.col("_n") * (F.col("_bad") - F.col("_p"))).alias("_g"), (F.col("_n") * F.col("_p") * (1 - F.col("_p"))).alias("_h"))
 
     def node_of(at: int = 1) -> Column:
         found = tree.get(at)
         if isinstance(found, tuple):
-            return F.when(F.col(found[0]) <= found[1], node_of(2 * at)).otherwise(node_of(2 * at + 1))
+            return F.when(below(*found), node_of(2 * at)).otherwise(node_of(2 * at + 1))
         return F.lit(at)
 
     for level in range(DEPTH):
         nodes = range(1 << level, 2 << level)
-        bins = F.array(*(F.struct(F.lit(k).alias("f"), _bin(F.col(f), limits[f]).alias("b")) for k, f in enumerate(FEATURES)))
+        bins = F.array(*(F.struct(F.lit(k).alias("f"), F.col(f).alias("b")) for k, f in enumerate(FEATURES)))
         rows = sums.withColumn("_node", node_of()).filter(F.col("_node").isin(*nodes))
         found = rows.select("_node", "_g", "_h", F.inline(bins)).groupBy("_node", "f", "b").agg(F.sum("_g").alias("g"), F.sum("_h").alias("h")).collect()
         for node in {r["_node"] for r in found}:
@@ -179,8 +181,9 @@ def fit(labelled: DataFrame, *, sample: int = SAMPLE, trees: int = TREES) -> Mod
     joined = materialize(others.join(F.broadcast(chosen), ["suffix", "_fold"]), "sample")
     quantiles = joined.agg(*(F.percentile_approx(f, [k / BINS for k in range(1, BINS)], 1000).alias(f) for f in FEATURES)).first()
     limits = {f: sorted(set(quantiles[f])) for f in FEATURES}
-    # equal rows of features become one weighted row
-    binned = materialize(joined.groupBy(*FEATURES).agg(F.sum("_n").cast("double").alias("_n"), (F.sum("_b") / F.sum("_n")).alias("_bad")).coalesce(4), "binned")
+    # rows with equal bins become one weighted row; as they are few and bounded, one task sums them without a shuffle
+    binned = joined.select("_n", "_b", *(_bin(F.col(f), limits[f]).alias(f) for f in FEATURES)).groupBy(*FEATURES).agg(F.sum("_n").cast("double").alias("_n"), (F.sum("_b") / F.sum("_n")).alias("_bad"))
+    binned = materialize(binned.coalesce(1), "binned").coalesce(1)
     for _ in range(trees):
         _grow(binned, model, limits)
     return model
