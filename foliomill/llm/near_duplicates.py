@@ -183,7 +183,8 @@ def _buckets(classes: DataFrame) -> DataFrame:
     bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda k: F.xxhash64(k, F.substring(F.col("packed"), k * ROWS + 1, F.lit(ROWS))))
     members = classes.select("id", F.posexplode(bands).alias("band", "bucket"))
     shared = members.groupBy("bucket").agg(F.count("*").alias("n"), F.min("id").alias("least"), F.min_by("id", F.xxhash64("id")).alias("other")).filter("n > 1")
-    return members.join(shared.hint("merge"), "bucket")
+    # stored, it joins as a plain table, and Spark can split a bucket with many members
+    return members.join(materialize(shared, "shared").hint("merge"), "bucket")
 
 
 def _block_links(table: pa.Table) -> pa.Table:
@@ -239,7 +240,7 @@ def _rest(buckets: DataFrame, classes: DataFrame, labels: DataFrame, texts: Data
     largest = F.max(F.struct("k", "s", "label"))
     wide = lambda k, s: F.ceil(F.greatest(k / WIDE_BLOCK, s / WIDE_SHINGLES)).cast("long")
     split = parts.groupBy("bucket").agg(largest.alias("main"), F.sum("k").alias("k"), F.sum("s").alias("s"), F.count("*").alias("labels")).filter("labels > 1")
-    split = split.select("bucket", F.col("main.label").alias("main"), wide(F.col("k") - F.col("main.k"), F.col("s") - F.col("main.s")).alias("lefts"), wide(F.col("k"), F.col("s")).alias("rights"))
+    split = materialize(split.select("bucket", F.col("main.label").alias("main"), wide(F.col("k") - F.col("main.k"), F.col("s") - F.col("main.s")).alias("lefts"), wide(F.col("k"), F.col("s")).alias("rights")), "split")
     placed = members.join(split.hint("merge"), "bucket").withColumn("rest", (F.col("label") != F.col("main")).cast("int"))
     place = placed.withColumn("l", F.pmod(F.xxhash64("id", F.lit(1)), F.col("lefts"))).withColumn("r", F.pmod(F.xxhash64("id", F.lit(2)), F.col("rights")))
     # side 1: right member of (every l, own r), side 0: left member of (own l, another r), side 2: both in (own l, own r)

@@ -194,8 +194,8 @@ PAIR = (*ROW, "first_row", "first_doc")
 def _linked(likely: DataFrame, window: int, run: int, kept: int) -> DataFrame:
     """Rows and the first rows of their windows, for one part of the windows."""
     found = likely.mapInArrow(_windows(window, run, kept), "row_id long, doc_id long, start int, digest long")
-    shared = found.groupBy("digest").agg(F.min(F.struct("doc_id", "row_id", "start")).alias("first"))
-    hits = found.join(shared, "digest").filter("doc_id <> first.doc_id")
+    shared = found.groupBy("digest").agg(F.min(F.struct("doc_id", "row_id", "start")).alias("first"), F.max("doc_id").alias("last")).filter("first.doc_id < last")
+    hits = found.join(_written(shared.select("digest", "first"), "shared").hint("merge"), "digest").filter("doc_id <> first.doc_id")
     hits = hits.withColumns({"first_row": F.col("first.row_id"), "first_doc": F.col("first.doc_id")})
     # a seed is the window's start in the document and in its first, as one number
     seed = F.shiftleft(F.col("start").cast("long"), 32) + F.col("first.start")
@@ -217,7 +217,8 @@ def repeated_passages(docs: DataFrame, *, words: int = WORDS) -> DataFrame:
     rows = docs.filter("doc_id is not null").select(F.xxhash64(text_or_empty()).alias("row_id"), F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     runs = rows.mapInArrow(_runs(window, run), "row_id long, doc_id long, at int, digest long")
     several = runs.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last").select("digest")
-    places = runs.select(*ROW, "at", "digest").join(several, "digest").groupBy(*ROW).agg(F.collect_list("at").alias("places"))
+    # stored, digests of several documents join as a plain table, and Spark can split a frequent one
+    places = runs.select(*ROW, "at", "digest").join(_written(several, "several").hint("merge"), "digest").groupBy(*ROW).agg(F.collect_list("at").alias("places"))
     likely = _written(rows.join(places, [*ROW]), "likely")
     parts = [_written(_linked(likely, window, run, k), "passages") for k in range(PARTS)]
     pairs = reduce(DataFrame.unionByName, parts).groupBy(*PAIR).agg(F.flatten(F.collect_list("seeds")).alias("seeds"))
