@@ -55,7 +55,8 @@ def test_run(spark, stages):
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_twins(spark, name):
     c = duckdb.connect()
-    c.execute(f"create view documents as select * from '{SF}/documents.parquet'")
+    for t in ("documents", "pages"):
+        c.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
     found = c.execute(queries.oracle_sql()[name])
     columns = [d[0] for d in found.description]
     df = queries.queries()[name](spark, SF)
