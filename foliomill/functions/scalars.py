@@ -83,4 +83,4 @@ def backoff_ms(attempt: Column, base_ms: int) -> Column:
 
 
 def encode_page(content: Column) -> Column:
-    return F.struct(F.regexp_replace(F.base64(content), "[\r\n]", "").alias("image_b64"), F.lit("image/png").alias("mime_type"), F.lit("high").alias("detail"))
+    return F.struct(F.replace(F.replace(F.base64(content), F.lit("\r"), F.lit("")), F.lit("\n"), F.lit("")).alias("image_b64"), F.lit("image/png").alias("mime_type"), F.lit("high").alias("detail"))

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..batches import arrow_schema, in_batches, rows_of
 from ..config import PageSelection
+from ..functions.text import let
 
 
 #: A table of fewer bytes for each core, in fewer files than cores, is dealt out anew before costly row-local work.
@@ -28,11 +30,24 @@ def expand(docs: DataFrame, page_count: str = "page_count") -> DataFrame:
     return docs.withColumn("page_num", F.explode(numbers))
 
 
+def page_texts(text: Column, per_page: int = 10) -> Column:
+    """Array of a text's pages of so many lines; the text is split once, not anew for each page."""
+
+    def cut(lines: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.floor((F.size(lines) - 1) / per_page).cast("int")), lambda p: F.array_join(F.slice(lines, p * per_page + 1, per_page), "\n"))
+
+    return let(F.split(text, "\n", -1), cut)
+
+
+def count_pages(text: Column, per_page: int = 10) -> Column:
+    """How many pages ``page_texts`` cuts a text into, by its line feeds; null for null."""
+    feeds = F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit("")))
+    return (F.floor(feeds / per_page) + 1).cast("int")
+
+
 def lines_to_pages(docs: DataFrame, per_page: int = 10) -> DataFrame:
     """(doc_id, page_count, page_num, text): texts cut into pages of so many lines; null texts have no pages."""
-    lines = F.split("text", "\n", -1)
-    cut = F.transform(F.sequence(F.lit(0), F.floor((F.size(lines) - 1) / per_page).cast("int")), lambda p: F.array_join(F.slice(lines, p * per_page + 1, per_page), "\n"))
-    pages = docs.filter("text is not null").select("doc_id", cut.alias("pages"))
+    pages = docs.filter("text is not null").select("doc_id", page_texts(F.col("text"), per_page).alias("pages"))
     return pages.select("doc_id", F.size("pages").alias("page_count"), F.posexplode("pages").alias("at", "text")).select("doc_id", "page_count", (F.col("at") + 1).alias("page_num"), "text")
 
 
@@ -101,17 +116,19 @@ def in_sequence(pages: DataFrame, step: Callable[[dict, str | None], dict], sche
     become the next page's context. Pages of a document stand together in one
     task, sorted, and pass one by one; a document is never held whole.
     """
-    names = [field.split()[0] for field in schema.split(", ")]
+    out = arrow_schema(schema)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def results(pages: Iterator[dict]) -> Iterator[dict]:
         doc = prior = None
-        for batch in batches:
-            for page in batch.to_dict("records"):
-                if page["doc_id"] != doc:
-                    doc, prior = page["doc_id"], None
-                row = step(page, prior)
-                if row.get("error") is None:
-                    prior = clean(row["markdown"]) if clean else row["markdown"]
-                yield pd.DataFrame([row], columns=names)
-
-    return pages.repartition("doc_id").sortWithinPartitions("doc_id", "page_num").mapInPandas(run, schema)
+        for page in pages:
+            if page["doc_id"] != doc:
+                doc, prior = page["doc_id"], None
+            row = step(page, prior)
+            if row.get("error") is None:
+                prior = clean(row["markdown"]) if clean else row["markdown"]
+            yield row
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return in_batches(results(rows_of(batches)), out)
+
+    return pages.repartition("doc_id").sortWithinPartitions("doc_id", "page_num").mapInArrow(run, schema)

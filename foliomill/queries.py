@@ -535,16 +535,13 @@ _RETRIES = ConversionConfig(max_retries=1, retry_backoff_ms=0)
 
 def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as bytes for the stand-in page source: ten lines a page."""
-    docs = P.spread(spark.read.parquet(f"{sf_dir}/documents.parquet")).withColumn("text", F.replace("text", F.lit("\f"), F.lit(" ")))
-    pages = P.lines_to_pages(docs)
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_num", "text"))), lambda p: p.text), "\f")
-    return pages.groupBy("doc_id").agg(F.concat(F.lit("%PDF-1.4\n"), joined).cast("binary").alias("content"))
+    docs = P.spread(spark.read.parquet(f"{sf_dir}/documents.parquet")).filter("text is not null")
+    joined = F.array_join(P.page_texts(F.replace("text", F.lit("\f"), F.lit(" "))), "\f")
+    return docs.select("doc_id", F.concat(F.lit("%PDF-1.4\n"), joined).cast("binary").alias("content"))
 
 
 def _images(spark: SparkSession, sf_dir: str, config: ConversionConfig = ConversionConfig()) -> DataFrame:
-    docs = _files(spark, sf_dir)
-    counted = inspect(docs, TextPages(), config).select("doc_id", F.sequence(F.lit(1), F.col("page_count")).alias("page_nums"))
-    return render_pages(docs.join(counted, "doc_id"), TextPages(), config)
+    return render_pages(_files(spark, sf_dir), TextPages(), config)
 
 
 @_query(f"with {_PLAIN} select doc_id, cast(max(page_count) as int) page_count, 'Pdf1_4' pdf_version, false is_encrypted, cast(null as varchar) title from raw group by doc_id")

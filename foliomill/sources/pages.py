@@ -12,9 +12,11 @@ from collections.abc import Iterator
 from typing import Protocol
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..batches import arrow_schema, in_batches, rows_of
 from ..config import ConversionConfig
 from ..functions.scalars import encode_page
 from ..schema import METADATA
@@ -29,12 +31,21 @@ class PageSource(Protocol):
 
 
 class TextPages:
-    """Pages are the parts between form feeds, after a first line ``%PDF-<version>``."""
+    """Pages are the parts between form feeds, after a first line ``%PDF-<version>``.
+
+    The document that was opened last stays cut, so that its pages cost no cut each.
+    """
+
+    _last: tuple[bytes, list[bytes]] = (b"", [])
 
     def _parts(self, content: bytes) -> list[bytes]:
         if not content.startswith(b"%PDF"):
             raise ValueError("FormatError")
-        return content.partition(b"\n")[2].split(b"\f")
+        known, parts = self._last
+        if known is not content:
+            parts = content.partition(b"\n")[2].split(b"\f")
+            self._last = (content, parts)
+        return parts
 
     def metadata(self, content: bytes, password: str | None) -> dict:
         parts = self._parts(content)
@@ -88,13 +99,26 @@ def rendered(doc_id: int, content: bytes, numbers: list[int], source: PageSource
 
 
 def render_pages(selected: DataFrame, source: PageSource, config: ConversionConfig) -> DataFrame:
-    """ENCODED_PAGE rows for (doc_id, content, page_nums); a page that can't be rendered is left out."""
+    """ENCODED_PAGE rows for (doc_id, content, page_nums); a page that can't be rendered is left out.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for doc_id, content, numbers in zip(batch.doc_id, batch.content, batch.page_nums):
-                for page in rendered(doc_id, bytes(content), numbers, source, config):
-                    yield pd.DataFrame([page], columns=_IMAGE)
+    Without ``page_nums``, the configuration's pages of each document that can be
+    opened: its bytes need then meet no other table, and are not shuffled.
+    """
+    named, out = "page_nums" in selected.columns, arrow_schema(IMAGE)
+
+    def usual(content: bytes) -> list[int]:
+        try:
+            return [i + 1 for i in config.pages.to_indices(source.metadata(content, config.password)["page_count"] or 0)]
+        except Exception:  # as in inspect, which has the error
+            return []
+
+    def images_of(docs: Iterator[dict]) -> Iterator[dict]:
+        for doc in docs:
+            content = doc["content"]
+            yield from rendered(doc["doc_id"], content, (doc["page_nums"] or []) if named else usual(content), source, config)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return in_batches(images_of(rows_of(batches)), out)
 
-    images = selected.select("doc_id", "content", F.col("page_nums")).mapInPandas(run, IMAGE)
+    images = selected.select("doc_id", "content", *["page_nums"] * named).mapInArrow(run, IMAGE)
     return images.withColumn("_e", encode_page(F.col("content"))).select("doc_id", "page_index", "_e.*", "render_encode_ms", "started_ms")
