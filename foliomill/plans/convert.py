@@ -63,7 +63,10 @@ def selected_pages(docs: DataFrame, metadata: DataFrame, config: ConversionConfi
 
 def raw_results(docs: DataFrame, source: PageSource, provider: Provider, config: ConversionConfig, chosen: DataFrame) -> DataFrame:
     """RAW_PAGE rows of the selected pages; selection comes before rendering."""
-    images = render_pages(docs.select("doc_id", "content").join(chosen.select("doc_id", "page_nums"), "doc_id"), source, config)
+    selected = docs.select("doc_id", "content")
+    if "pages" in docs.columns:
+        selected = selected.join(chosen.select("doc_id", "page_nums"), "doc_id")
+    images = render_pages(selected, source, config)
     if config.maintain_format:
         step = lambda page, prior: infer_page(provider, page, prior, config)
         return in_sequence(images.withColumn("page_num", F.col("page_index") + 1), step, RAW_PAGE)

@@ -58,3 +58,16 @@ def test_page_texts(spark):
     for r in df.select("text", page_texts(F.col("text")).alias("pages"), count_pages(F.col("text")).alias("n")).collect():
         lines = r.text and r.text.split("\n") or [""]
         assert r.n is r.pages is None if r.text is None else r.pages == ["\n".join(lines[i : i + 10]) for i in range(0, len(lines), 10)] and r.n == len(r.pages)
+
+
+def documents(spark):
+    return from_bytes(spark, [(1, b"%PDF-1.4\none\ftwo\fthree"), (2, b"%PDF-1.7\nonly"), (3, b"junk"), (4, b"%PDF-1.5\n")])
+
+
+def test_contents_meet_no_table(spark):
+    """Pages of the configuration are chosen where documents are opened; named ones, from a table, as before."""
+    docs, config = documents(spark), ConversionConfig(pages=PageSelection.between(2, 9))
+    chosen = spark.createDataFrame([(1, [2, 3]), (2, []), (4, [])], "doc_id long, page_nums array<int>")
+    assert "Join" not in plan(raw_results(docs, TextPages(), MockProvider(), config, chosen))
+    key = lambda df: sorted((r.doc_id, r.page_index, r.image_b64) for r in df.collect())
+    assert key(render_pages(docs, TextPages(), config)) == key(render_pages(docs.join(chosen, "doc_id"), TextPages(), config)) != []
