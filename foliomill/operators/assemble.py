@@ -36,8 +36,8 @@ def statistics() -> list[Column]:
     ]
 
 
-def convert_documents(pages: DataFrame, documents: DataFrame, kind: PageSeparator, *, max_retries: int = 3, strict: bool = False) -> DataFrame:
-    """One row per document: markdown, counters and doc_error.
+def convert_documents(pages: DataFrame, documents: DataFrame, kind: PageSeparator, *, max_retries: int = 3, strict: bool = False, keep_pages: bool = False) -> DataFrame:
+    """One row per document: markdown, counters and doc_error; with ``keep_pages`` also ``pages``, the page results in order.
 
     ``documents`` has doc_id, page_count, selected_count, and may have inspect_ms.
     A document with no selected page is out of range; one with no successful page
@@ -45,8 +45,12 @@ def convert_documents(pages: DataFrame, documents: DataFrame, kind: PageSeparato
     is summed over pages; llm_duration_ms is the time from the start of the first
     page to the end of the last, and total_duration_ms that with the opening.
     """
-    done = F.array_sort(F.collect_list(F.when(F.col("error").isNull(), F.struct("page_num", "markdown"))))
-    made = pages.groupBy("doc_id").agg(joined_pages(done, kind).alias("markdown"), *statistics())
+    if keep_pages:
+        made = pages.groupBy("doc_id").agg(page_results(), *statistics())
+        made = made.withColumn("markdown", joined_pages(F.filter("pages", lambda p: p.error.isNull()), kind))
+    else:
+        done = F.array_sort(F.collect_list(F.when(F.col("error").isNull(), F.struct("page_num", "markdown"))))
+        made = pages.groupBy("doc_id").agg(joined_pages(done, kind).alias("markdown"), *statistics())
     rows = documents.join(made, "doc_id", "left")
     zero = ["processed_pages", "failed_pages", "returned_pages", "total_input_tokens", "total_output_tokens", "render_duration_ms", "llm_duration_ms"]
     opened = F.coalesce("inspect_ms", F.lit(0)) if "inspect_ms" in documents.columns else F.lit(0)
@@ -60,16 +64,23 @@ def convert_documents(pages: DataFrame, documents: DataFrame, kind: PageSeparato
         error = error.when(F.col("failed_pages") > 0, message("PartialFailure", failed=F.col("failed_pages"), total=F.col("page_count")))
     rows = rows.withColumns({"doc_error": error, "total_duration_ms": (opened + F.col("llm_duration_ms")).cast("long")})
     rows = rows.withColumn("markdown", F.when(F.col("doc_error").isNull(), F.col("markdown")))
-    return rows.select("doc_id", "markdown", F.col("page_count").cast("long").alias("total_pages"), "processed_pages", "failed_pages", "skipped_pages", "total_input_tokens", "total_output_tokens", "total_duration_ms", "render_duration_ms", "llm_duration_ms", "first_error", "doc_error")
+    return rows.select("doc_id", "markdown", F.col("page_count").cast("long").alias("total_pages"), "processed_pages", "failed_pages", "skipped_pages", "total_input_tokens", "total_output_tokens", "total_duration_ms", "render_duration_ms", "llm_duration_ms", "first_error", "doc_error", *["pages"] * keep_pages)
 
 
-def conversion_output(pages: DataFrame, documents: DataFrame) -> DataFrame:
-    """(doc_id, json): the whole output of each document, nulls kept, pages in order."""
+def page_results() -> Column:
+    """Aggregate of a document's page results in order, ``pages``."""
     result = F.struct("page_num", "markdown", "input_tokens", "output_tokens", "duration_ms", "retries", "error")
-    nested = pages.groupBy("doc_id").agg(F.array_sort(F.collect_list(result)).alias("pages"))
-    stats = F.struct(*(c for c in documents.columns if c not in ("doc_id", "markdown", "metadata", "doc_error", "first_error")))
+    return F.array_sort(F.collect_list(result)).alias("pages")
+
+
+def conversion_output(pages: DataFrame | None, documents: DataFrame) -> DataFrame:
+    """(doc_id, json): the whole output of each document, nulls kept, pages in order.
+
+    Documents that were converted with ``keep_pages`` have their pages and need no table of them.
+    """
+    stats = F.struct(*(c for c in documents.columns if c not in ("doc_id", "markdown", "metadata", "doc_error", "first_error", "pages")))
     meta = [F.col("metadata")] if "metadata" in documents.columns else []
-    joined = documents.join(nested, "doc_id", "left")
+    joined = documents if pages is None else documents.join(pages.groupBy("doc_id").agg(page_results()), "doc_id", "left")
     return joined.select("doc_id", F.to_json(F.struct("markdown", "pages", *meta, stats.alias("stats")), {"ignoreNullFields": "false"}).alias("json"))
 
 

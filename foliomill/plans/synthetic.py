@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.pages import lines_to_pages, spread
+from ..operators.pages import count_pages, lines_to_pages, spread
 
 #: (before, text with replacements, after) by class; class 11 fails.
 FORMS: dict[int, tuple[str, tuple[tuple[str, str], ...], str]] = {
@@ -29,6 +29,12 @@ CLASSES = 12
 FAILS_WHOLE = 50
 
 
+def page_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, page_count) of the documents that ``raw_pages`` has pages of; no page is made for it."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").filter("text is not null")
+    return docs.select("doc_id", count_pages(F.col("text")).alias("page_count")).groupBy("doc_id").agg(F.max("page_count").alias("page_count"))
+
+
 def raw_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw page results of all documents: RAW_PAGE columns and page_count."""
     pages = lines_to_pages(spread(spark.read.parquet(f"{sf_dir}/documents.parquet")))

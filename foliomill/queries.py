@@ -19,7 +19,7 @@ from .operators import assemble as A
 from .operators import pages as P
 from .operators import quality as Q
 from .plans.convert import convert
-from .plans.synthetic import CLASSES, FAILS_WHOLE, FORMS, raw_pages
+from .plans.synthetic import CLASSES, FAILS_WHOLE, FORMS, page_counts, raw_pages
 from .schema import RAW_PAGE
 from .sources.pages import TextPages, inspect, render_pages
 from .sources.provider import MockProvider, infer, infer_page
@@ -248,8 +248,7 @@ _select("select_set", PageSelection.of(3, 1, 3, 99), "page_num in (1, 3, 99)")
 
 
 def _counts(spark, sf_dir, selection):
-    docs = raw_pages(spark, sf_dir).groupBy("doc_id").agg(F.first("page_count").alias("page_count"))
-    return docs.withColumn("selected_count", P.selected_count(selection, F.col("page_count")))
+    return page_counts(spark, sf_dir).withColumn("selected_count", P.selected_count(selection, F.col("page_count")))
 
 
 @_query(f"with {RAW} select doc_id, cast(max(page_count) as bigint) page_count from raw group by doc_id having max(page_count) < 3")
@@ -315,7 +314,7 @@ def separators(spark, sf_dir):
 
 def metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Metadata made from the labels and counts of documents."""
-    docs = raw_pages(spark, sf_dir).groupBy("doc_id").agg(F.first("page_count").alias("page_count"))
+    docs = page_counts(spark, sf_dir)
     named = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang", "source")
     k = F.col("doc_id")
     none = F.lit(None).cast("string")
@@ -344,10 +343,10 @@ _STATS = _stats("true")
 _DOC_ERROR = "case when processed_pages = 0 then 'All '||n||' pages failed after 3 retries each.'||chr(10)||'First error: '||first_error end"
 
 
-def _converted(spark, sf_dir, selection=PageSelection(), strict=False, returned=None):
+def _converted(spark, sf_dir, selection=PageSelection(), strict=False, returned=None, keep_pages=False):
     pages = cleaned_pages(spark, sf_dir) if returned is None else cleaned_pages(spark, sf_dir).filter(returned)
     chosen = pages.filter(P.is_selected(selection, F.col("page_num"), F.col("page_count")))
-    return A.convert_documents(chosen, _counts(spark, sf_dir, selection), PageSeparator("comment"), strict=strict)
+    return A.convert_documents(chosen, _counts(spark, sf_dir, selection), PageSeparator("comment"), strict=strict, keep_pages=keep_pages)
 
 
 @_query(f"""with {_assembled(SEPARATORS['comment'][1]).replace(CLEAN, _STATS)} select doc_id, markdown, total_pages, processed_pages, failed_pages, skipped_pages, total_input_tokens, total_output_tokens, llm_duration_ms total_duration_ms, render_duration_ms, llm_duration_ms, first_error, {_DOC_ERROR} doc_error from er left join assembled using (doc_id)""")
@@ -519,7 +518,7 @@ pg as (select doc_id, list({{'page_num': cast(page_num as int), 'markdown': mark
 select doc_id, cast(to_json({{'markdown': markdown, 'pages': pages, 'stats': {{'total_pages': total_pages, 'processed_pages': processed_pages, 'failed_pages': failed_pages, 'skipped_pages': skipped_pages, 'total_input_tokens': total_input_tokens, 'total_output_tokens': total_output_tokens,
   'total_duration_ms': llm_duration_ms, 'render_duration_ms': render_duration_ms, 'llm_duration_ms': llm_duration_ms}}}}) as varchar) json from er join pg using (doc_id) left join assembled using (doc_id)""")
 def conversion_json(spark, sf_dir):
-    return A.conversion_output(cleaned_pages(spark, sf_dir), _converted(spark, sf_dir))
+    return A.conversion_output(None, _converted(spark, sf_dir, keep_pages=True))
 
 
 # -- the conversion job, from bytes to documents -------------------------------------

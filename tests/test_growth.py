@@ -71,3 +71,10 @@ def test_contents_meet_no_table(spark):
     assert "Join" not in plan(raw_results(docs, TextPages(), MockProvider(), config, chosen))
     key = lambda df: sorted((r.doc_id, r.page_index, r.image_b64) for r in df.collect())
     assert key(render_pages(docs, TextPages(), config)) == key(render_pages(docs.join(chosen, "doc_id"), TextPages(), config)) != []
+
+
+def test_conversion_json_makes_pages_once(spark):
+    df = Q.conversion_json(spark, SF)
+    assert plan(df).count("Generate posexplode") == 1
+    joined = conversion_output(Q.cleaned_pages(spark, SF), Q.convert_documents(spark, SF))
+    assert sorted(map(tuple, df.collect())) == sorted(map(tuple, joined.collect()))
