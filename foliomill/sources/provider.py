@@ -9,6 +9,7 @@ import os
 import time
 import urllib.error
 import urllib.request
+from collections import deque
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
@@ -16,9 +17,10 @@ from queue import Empty, Queue
 from threading import Thread
 from typing import Protocol
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from ..batches import arrow_schema, in_batches, rows_of
 from ..config import ConversionConfig
 from ..errors import ConversionError
 from ..functions.scalars import CONTINUITY, DEFAULT_MODEL, DEFAULT_MODELS, SYSTEM_PROMPT
@@ -150,7 +152,8 @@ def infer_page(provider: Provider, page: dict, prior: str | None, config: Conver
     return base | {"markdown": "", "input_tokens": 0, "output_tokens": 0, "duration_ms": spent(), "retries": config.max_retries, "error": error, "ended_ms": now + spent()}
 
 
-_COLUMNS = [field.split()[0] for field in RAW_PAGE.split(", ")]
+#: Calls for each concurrent one that are handed out ahead, so that a slow one doesn't keep the others waiting.
+AHEAD = 4
 
 
 def infer(pages: DataFrame, provider: Provider, config: ConversionConfig) -> DataFrame:
@@ -160,13 +163,22 @@ def infer(pages: DataFrame, provider: Provider, config: ConversionConfig) -> Dat
     twice, and switch speculation off for this stage.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    out = arrow_schema(RAW_PAGE)
+
+    def results(pages: Iterator[dict], pool: ThreadPoolExecutor) -> Iterator[dict]:
+        waiting: deque = deque()
+        for page in pages:
+            waiting.append(pool.submit(infer_page, provider, page, None, config))
+            if len(waiting) >= AHEAD * config.concurrency:
+                yield waiting.popleft().result()
+        while waiting:
+            yield waiting.popleft().result()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with ThreadPoolExecutor(config.concurrency) as pool:
-            for batch in batches:
-                rows = pool.map(lambda page: infer_page(provider, page, None, config), batch.to_dict("records"))
-                yield pd.DataFrame(list(rows), columns=_COLUMNS)
+            yield from in_batches(results(rows_of(batches), pool), out)
 
-    return pages.mapInPandas(run, RAW_PAGE)
+    return pages.mapInArrow(run, RAW_PAGE)
 
 
 def resolve_provider(config: ConversionConfig, injected: Provider | None = None, factories: dict[str, Callable[[str], Provider]] | None = None, env: dict[str, str] | None = None) -> Provider:

@@ -78,3 +78,17 @@ def test_conversion_json_makes_pages_once(spark):
     assert plan(df).count("Generate posexplode") == 1
     joined = conversion_output(Q.cleaned_pages(spark, SF), Q.convert_documents(spark, SF))
     assert sorted(map(tuple, df.collect())) == sorted(map(tuple, joined.collect()))
+
+
+def test_infer_pages_shuffles_nothing(spark):
+    df = Q.infer_pages(spark, SF)
+    assert shuffles(df) == 0 and "Join" not in plan(df)
+
+
+def test_infer_keeps_its_callers_busy(spark):
+    """Calls are handed out ahead of the results; all come back, in order."""
+    pages = [{"doc_id": i, "page_index": i, "image_b64": "aGk=", "render_encode_ms": 0, "started_ms": 1} for i in range(300)]
+    df = spark.createDataFrame(pages, "doc_id long, page_index int, image_b64 string, render_encode_ms long, started_ms long").coalesce(1)
+    config = ConversionConfig(concurrency=3)
+    want = [infer_page(MockProvider(), p, None, config) for p in pages]
+    assert [(r.doc_id, r.page_num, r.markdown) for r in infer(df, MockProvider(), config).collect()] == [(w["doc_id"], w["page_num"], w["markdown"]) for w in want]
