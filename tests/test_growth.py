@@ -92,3 +92,8 @@ def test_infer_keeps_its_callers_busy(spark):
     config = ConversionConfig(concurrency=3)
     want = [infer_page(MockProvider(), p, None, config) for p in pages]
     assert [(r.doc_id, r.page_num, r.markdown) for r in infer(df, MockProvider(), config).collect()] == [(w["doc_id"], w["page_num"], w["markdown"]) for w in want]
+
+
+def test_page_images_shuffle_nothing(spark):
+    df = Q.page_images(spark, SF)
+    assert shuffles(df) == 0 and "Join" not in plan(df)
