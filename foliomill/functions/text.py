@@ -2,13 +2,16 @@
 
 ``clean_markdown`` applies them in order. Blank characters are Unicode white
 space, so classes are spelled out: Java's ``\\s`` is ASCII only. Every rule is
-linear in the text; rules that need markers (headings, tables, images) are
-skipped for texts without them.
+linear in the text. Patterns cost far more than the engine's byte-wise functions,
+so ends are trimmed by those, and a pattern runs only over texts that hold what it
+is after.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,6 +20,9 @@ from pyspark.sql import functions as F
 _H = r"\x{09}\x{0B}-\x{0D}\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 BLANK = rf"[\x{{0A}}{_H}]"
 SPACE = rf"[{_H}]"
+#: The same characters spelt out, for the trimming functions.
+SPACES = "".join(chr(c) for c in (0x9, 0xB, 0xC, 0xD, 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))
+BLANKS = "\n" + SPACES
 INVISIBLE = "​﻿­‌‍⁠"
 FAKE_HOSTS = ("example.com", "placeholder.com", "dummyimage.com", "lorempixel.com", "picsum.photos", "placehold.it")
 IMAGE = r"!\[[^\]]*\]\([^)]*\)"
@@ -28,26 +34,51 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def strip(x: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(x, rf"\A{BLANK}+", ""), rf"{BLANK}+\z", "")
+    return F.btrim(x, F.lit(BLANKS))
+
+
+def only_if(test: Column, x: Column, pattern: str, new: str) -> Column:
+    """A replacement in texts that pass a cheap test; others can't hold the pattern."""
+    return F.when(test, F.regexp_replace(x, pattern, new)).otherwise(x)
+
+
+def drop_line_feed(x: Column) -> Column:
+    """Without the line feed at the end, if there is one."""
+    return F.when(x.endswith("\n"), F.left(x, F.length(x) - 1)).otherwise(x)
 
 
 def normalise_line_endings(x: Column) -> Column:
-    return F.regexp_replace(x, r"\r\n?", "\n")
+    return only_if(x.contains("\r"), x, r"\r\n?", "\n")
+
+
+def open_fence(x: Column) -> Column:
+    return only_if(x.startswith("```"), x, r"\A```[^`\n]*(?:\n|\z)", "")
+
+
+def close_fence(x: Column) -> Column:
+    return only_if(x.endswith("```"), x, rf"(?:\A|\n){SPACE}*```\z", "")
 
 
 def strip_fences(x: Column) -> Column:
     """Drop a fence that opens the text and, independently, one that closes it."""
-    opened = F.regexp_replace(strip(x), r"\A```[^`\n]*(?:\n|\z)", "")
-    return F.regexp_replace(opened, rf"(?:\A|\n){SPACE}*```\z", "")
+    return close_fence(open_fence(strip(x)))
+
+
+def rstrip_inner_lines(x: Column) -> Column:
+    """All lines but the last; a run of blanks is looked at from its first only."""
+    return only_if(x.rlike(rf"\n(?<={SPACE}\n)"), x, rf"(?<!{SPACE}){SPACE}++(?=\n)", "")
+
+
+def rstrip_last_line(x: Column) -> Column:
+    return F.rtrim(x, F.lit(SPACES))
 
 
 def rstrip_lines(x: Column) -> Column:
-    once = F.regexp_replace(x, r"\n\z", "")
-    return F.regexp_replace(F.regexp_replace(once, rf"{SPACE}+(?=\n)", ""), rf"{SPACE}+\z", "")
+    return rstrip_last_line(rstrip_inner_lines(drop_line_feed(x)))
 
 
 def collapse_blank_lines(x: Column) -> Column:
-    return F.regexp_replace(x, r"\n{4,}", "\n\n\n")
+    return only_if(x.contains("\n\n\n\n"), x, r"\n{4,}", "\n\n\n")
 
 
 def is_heading(line: Column) -> Column:
@@ -64,7 +95,7 @@ def space_headings(x: Column) -> Column:
 
         return F.array_join(F.transform(parts.lines, piece), "")
 
-    once = F.regexp_replace(x, r"\n\z", "")
+    once = drop_line_feed(x)
     done = let(F.struct(F.split(once, r"\n+", -1).alias("lines"), F.regexp_extract_all(once, F.lit(r"(\n+)"), F.lit(1)).alias("gaps")), respaced)
     return F.when(F.instr(x, "\n#") > 0, done).otherwise(once)
 
@@ -101,7 +132,7 @@ def repair_tables(x: Column) -> Column:
         return F.array_join(F.flatten(F.transform(v.lines, each)), "\n")
 
     flags = lambda lines: F.struct(lines.alias("lines"), F.transform(lines, is_table_row).alias("rows"), F.transform(lines, is_separator_row).alias("marks"))
-    once = F.regexp_replace(x, r"\n\z", "")
+    once = drop_line_feed(x)
     done = let(F.split(once, "\n", -1), lambda lines: let(flags(lines), stencil))
     return F.when(F.instr(x, "|") > 0, done).otherwise(once)
 
@@ -128,15 +159,15 @@ def rewrite_images(x: Column) -> Column:
 
 
 def strip_invisible(x: Column) -> Column:
-    return F.regexp_replace(x, f"[{INVISIBLE}]+", "")
+    return only_if(reduce(or_, (x.contains(c) for c in INVISIBLE)), x, f"[{INVISIBLE}]+", "")
 
 
 def end_with_newline(x: Column) -> Column:
-    return F.concat(F.regexp_replace(x, rf"{BLANK}+\z", ""), F.lit("\n"))
+    return F.concat(F.rtrim(x, F.lit(BLANKS)), F.lit("\n"))
 
 
-#: The rules in the order in which they are applied.
-RULES = (normalise_line_endings, strip_fences, rstrip_lines, collapse_blank_lines, space_headings, repair_tables, rewrite_images, strip_invisible, end_with_newline)
+#: The rules in the order in which they are applied, those of several steps by step.
+RULES = (normalise_line_endings, strip, open_fence, close_fence, drop_line_feed, rstrip_inner_lines, rstrip_last_line, collapse_blank_lines, space_headings, repair_tables, rewrite_images, strip_invisible, end_with_newline)
 
 
 def clean_markdown(x: Column) -> Column:

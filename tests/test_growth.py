@@ -97,3 +97,17 @@ def test_infer_keeps_its_callers_busy(spark):
 def test_page_images_shuffle_nothing(spark):
     df = Q.page_images(spark, SF)
     assert shuffles(df) == 0 and "Join" not in plan(df)
+
+
+def test_long_runs_of_blanks_take_linear_time(spark):
+    run = " " * 100_000
+    df = spark.createDataFrame([(1, f"a{run}b\nc{run}\nd\n\n{run}", None)], "i int, markdown string, error string")
+    began = time.time()
+    assert T.clean_pages(df).first().markdown == f"a{run}b\nc\nd\n"
+    assert time.time() - began < 8
+
+
+def test_every_blank_is_trimmed(spark):
+    texts = [(i, f"{c}a{c}\n b{c}{c}", None) for i, c in enumerate(T.SPACES)]
+    got = T.clean_pages(spark.createDataFrame(texts, "i int, markdown string, error string")).collect()
+    assert len(T.SPACES) == 24 and {r.markdown for r in got if r.markdown.count("\n") == 2} == {"a\n b\n"}
