@@ -80,6 +80,10 @@ def test_conversion_json_makes_pages_once(spark):
     assert sorted(map(tuple, df.collect())) == sorted(map(tuple, joined.collect()))
 
 
+def test_convert_documents_makes_pages_once(spark):
+    assert plan(Q.convert_documents(spark, SF)).count("Generate posexplode") == 1
+
+
 def test_infer_pages_shuffles_nothing(spark):
     df = Q.infer_pages(spark, SF)
     assert shuffles(df) == 0 and "Join" not in plan(df)
