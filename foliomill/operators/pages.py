@@ -13,15 +13,27 @@ from ..config import PageSelection
 from ..functions.text import let
 
 
-#: A table of fewer bytes for each core, in fewer files than cores, is dealt out anew before costly row-local work.
-SMALL = 8 << 20
+#: A table of fewer stored bytes for each core is dealt one part a core, a larger one in parts of about so many bytes.
+SMALL, DEALT = 8 << 20, 16 << 20
 
 
 def spread(rows: DataFrame) -> DataFrame:
-    """A small stored table over all cores, whatever its files' splits; a large one, which has splits enough, as it is."""
+    """A stored table dealt to all cores before costly row-local work, if its splits don't do that; else as it is.
+
+    A Parquet row group is read by one task however large it is, and splits
+    without the start of one are empty. So the rows of each split are counted,
+    from the files' footers: where the largest would take a core more than twice
+    its share, rows are dealt by their place in the scan, whatever the table's size.
+    """
     cores = rows.sparkSession.sparkContext.defaultParallelism
+    held = rows.groupBy(F.spark_partition_id().alias("split")).count().agg(F.max("count").alias("most"), F.sum("count").alias("all")).first()
+    if not held["all"] or held["most"] * cores <= 2 * held["all"]:
+        return rows
     size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return rows.repartition(cores) if size < SMALL * cores and len(rows.inputFiles()) < cores else rows
+    if size < SMALL * cores:
+        return rows.repartition(cores)
+    # by a key: without one, Spark first sorts all rows of a split, on disk if they are many
+    return rows.withColumn("_place", F.monotonically_increasing_id()).repartition(max(cores, -(-size // DEALT)), "_place").drop("_place")
 
 
 def expand(docs: DataFrame, page_count: str = "page_count") -> DataFrame:

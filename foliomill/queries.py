@@ -228,7 +228,7 @@ def table_row_predicates(spark, sf_dir):
 
 @_query(f"with {RAW} select {_KEYS}, cast(page_count as int) page_count, text from paged")
 def page_expand(spark, sf_dir):
-    pages = P.lines_to_pages(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    pages = P.lines_to_pages(P.spread(spark.read.parquet(f"{sf_dir}/documents.parquet")))
     return pages.select("doc_id", F.col("page_num").cast("int").alias("page_num"), F.col("page_count").cast("int").alias("page_count"), "text")
 
 
