@@ -31,7 +31,7 @@ FAILS_WHOLE = 50
 
 def page_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, page_count) of the documents that ``raw_pages`` has pages of; no page is made for it."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").filter("text is not null")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet")).filter("text is not null")
     return docs.select("doc_id", count_pages(F.col("text")).alias("page_count")).groupBy("doc_id").agg(F.max("page_count").alias("page_count"))
 
 

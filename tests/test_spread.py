@@ -43,3 +43,9 @@ def test_even_splits_stay(spark, tmp_path):
     assert "Exchange" not in spread(stored)._jdf.queryExecution().executedPlan().toString() or most(stored) * spark.sparkContext.defaultParallelism > 2
     empty = spark.read.schema("id long").parquet(str(tmp_path / "even")).filter("id < 0")
     assert spread(empty).count() == 0
+
+
+def test_counting_pages_is_dealt_out(spark):
+    from foliomill.plans.synthetic import page_counts
+
+    assert "REPARTITION_BY_NUM" in page_counts(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
